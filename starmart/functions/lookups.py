@@ -37,6 +37,7 @@ STATE_COORDINATES = [
 
 
 def state_coordinates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        STATE_COORDINATES, "code string, lat double, lng double, nama string"
+    rows = ", ".join(
+        f"('{code}', {lat}D, {lng}D, '{name}')" for code, lat, lng, name in STATE_COORDINATES
     )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS states(code, lat, lng, nama)")

@@ -306,13 +306,20 @@ def advise(
         direction,
         F.col("persen"),
     )
-    falling = _advice(
-        category_moves.filter((F.col("side") == "turun") & (F.col("persen") < limits.falling)),
-        "R2", F.lit(10) + F.col("rank"), "Tinggi", "Produk", F.col("kategori"), F.col("persen"),
+    is_fall = F.col("side") == "turun"
+    moves = category_moves.filter(
+        F.when(is_fall, F.col("persen") < limits.falling).otherwise(
+            F.col("persen") > limits.rising
+        )
     )
-    rising = _advice(
-        category_moves.filter((F.col("side") == "naik") & (F.col("persen") > limits.rising)),
-        "R3", F.lit(20) + F.col("rank"), "Sedang", "Produk", F.col("kategori"), F.col("persen"),
+    products = _advice(
+        moves,
+        F.when(is_fall, "R2").otherwise("R3"),
+        F.when(is_fall, 10).otherwise(20) + F.col("rank"),
+        F.when(is_fall, "Tinggi").otherwise("Sedang"),
+        "Produk",
+        F.col("kategori"),
+        F.col("persen"),
     )
     low_share = safe_ratio(F.col("review_rendah") * 100, F.col("jumlah_review"))
     unhappy = _advice(
@@ -349,9 +356,7 @@ def advise(
     single = _advice(
         concentration, "R6", 51, "Rendah", "Pembayaran", F.col("method"), F.col("share")
     )
-    rows = reduce(
-        DataFrame.unionByName, [sales, falling, rising, unhappy, logistics, single]
-    )
+    rows = reduce(DataFrame.unionByName, [sales, products, unhappy, logistics, single])
     urgency = F.array_position(F.array(*[F.lit(p) for p in _PRIORITIES]), F.col("priority"))
     return rows.orderBy(urgency, "seq")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +23,13 @@ class Warehouse(Mapping[str, DataFrame]):
 
     def __init__(self, spark: SparkSession, source: Mapping[str, DataFrame], folder: str):
         self._spark = spark
-        self._source = source
+        self.source = source
         self._folder = folder
         self._written: dict[str, DataFrame] = {}
 
     def frame(self, name: str) -> DataFrame:
         """The plan that builds one table from the tables before it."""
-        source, keyed = self._source, self.keyed
+        source, keyed = self.source, self.keyed
         plans: dict[str, Callable[[], DataFrame]] = {
             "dim_waktu": lambda: build.dim_waktu(source["orders"]),
             "dim_produk": lambda: build.dim_produk(
@@ -78,6 +79,18 @@ class Warehouse(Mapping[str, DataFrame]):
             self._written[name] = write_and_read(df, path, by_year)
         return self._written[name]
 
+    def load(self) -> None:
+        """Write all tables, those that do not build on each other at the same time."""
+        steps = (
+            tuple(DIMENSION_KEYS),
+            ("keyed_orders",),
+            ("keyed_lines", "fakta_pembayaran"),
+            ("fakta_pengiriman", "fakta_review", "fakta_seller"),
+        )
+        with ThreadPoolExecutor(max(map(len, steps))) as pool:
+            for tables in steps:
+                list(pool.map(self.keyed, tables))
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in STAR_SCHEMAS:
             raise KeyError(name)
