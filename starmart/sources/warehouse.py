@@ -26,6 +26,8 @@ class Warehouse(Mapping[str, DataFrame]):
         self.source = source
         self._folder = folder
         self._written: dict[str, DataFrame] = {}
+        self._published: dict[str, DataFrame] = {}
+        self._star = Star(self, _RowCounts(self), enforced=True)
 
     def frame(self, name: str) -> DataFrame:
         """The plan that builds one table from the tables before it."""
@@ -94,8 +96,10 @@ class Warehouse(Mapping[str, DataFrame]):
     def __getitem__(self, name: str) -> DataFrame:
         if name not in STAR_SCHEMAS:
             raise KeyError(name)
-        columns = STAR_SCHEMAS[name].fieldNames()
-        return self.keyed(name).select(*columns, *(["tahun"] if name in FACT_KEYS else []))
+        if name not in self._published:
+            columns = STAR_SCHEMAS[name].fieldNames() + (["tahun"] if name in FACT_KEYS else [])
+            self._published[name] = self.keyed(name).select(*dict.fromkeys(columns))
+        return self._published[name]
 
     def __iter__(self) -> Iterator[str]:
         return iter(STAR_SCHEMAS)
@@ -105,7 +109,7 @@ class Warehouse(Mapping[str, DataFrame]):
 
     def star(self) -> Star:
         """The facts come from inner joins with the dimensions, so keys are enforced."""
-        return Star(self, _RowCounts(self), enforced=True)
+        return self._star
 
 
 class _RowCounts(Mapping[str, int]):
