@@ -20,10 +20,19 @@ _SETTINGS = {
 _local_folders: dict[str, str] = {}
 
 
+_SHUFFLE_START = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
 def prepare_session(spark: SparkSession) -> SparkSession:
     for key, value in _SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    context = spark.sparkContext
+    if not context.master.startswith("local") and spark.conf.get(_SHUFFLE_START, None) is None:
+        # Start fine and let adaptive execution merge: the default of a few hundred
+        # partitions would each outgrow an executor's memory on a large fact.
+        start = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * context.defaultParallelism)
+        spark.conf.set(_SHUFFLE_START, str(start))
     return spark
 
 
