@@ -39,3 +39,13 @@ def attach_all(
     for dimension in order:
         rows = attach(rows, star, dimension, *columns[dimension], where=where.get(dimension))
     return rows
+
+
+def reshuffled(df: DataFrame, key: str) -> DataFrame:
+    """``df`` off the partitioning by ``key`` that its own joins left it in.
+
+    Adaptive execution splits a hot key's partition only where both sides of a
+    join come straight from a shuffle. A narrow side that was itself joined on
+    ``key`` would go in without one; moved by another hash, it is shuffled again.
+    """
+    return df.repartition(F.xxhash64(key))

@@ -23,6 +23,7 @@ from starmart.operators.aggregates import (
     total,
     value_count,
 )
+from starmart.operators.joins import reshuffled
 from starmart.operators.ordering import ascending, descending, ranked, top
 
 Operational = Mapping[str, DataFrame]
@@ -213,7 +214,7 @@ def norm_sales_by_category(op: Operational) -> DataFrame:
     per_product = (
         op["order_items"].select("order_id", "product_id", "seller_id", "price")
         .join(op["sellers"].select("seller_id"), "seller_id")
-        .join(orders.select("order_id", "payments"), "order_id")
+        .join(reshuffled(orders.select("order_id", "payments"), "order_id"), "order_id")
         .groupBy("product_id").agg(_weighted("price").alias("price"))
     )
     sums = (
@@ -271,10 +272,10 @@ def norm_review_by_product(op: Operational) -> DataFrame:
         scores=F.count(score),
         reviews=F.count("review_id"),
     )
+    reviewed = op["orders"].select("order_id").join(reviews, "order_id")
     per_product = (
         op["order_items"].select("order_id", "product_id")
-        .join(op["orders"].select("order_id"), "order_id")
-        .join(reviews, "order_id")
+        .join(reshuffled(reviewed, "order_id"), "order_id")
         .groupBy("product_id")
         .agg(*[F.sum(c).alias(c) for c in ("score", "scores", "reviews")])
     )

@@ -77,8 +77,9 @@ def test_operational_sides_meet_on_one_partitioning(spark, settings):
     assert len(re.findall(r"Exchange hashpartitioning\(order_id#\d+L, ", plan)) == 3
 
 
-def test_a_hot_product_is_split_by_the_build(spark, settings):
-    """A third of all items are of one product; its partition is read in pieces."""
+@pytest.fixture
+def eager_splits(settings):
+    """Skew thresholds that fit rows by the thousand."""
     settings(
         spark__sql__autoBroadcastJoinThreshold="-1",
         spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
@@ -88,24 +89,55 @@ def test_a_hot_product_is_split_by_the_build(spark, settings):
         spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20kb",
         spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
     )
-    items = spark.range(0, 60000, 1, 8).select(
-        (F.col("id") % 5000).alias("order_id"),
+
+
+def _items(spark, hot: str):
+    """60,000 items of which a third have 7 in column ``hot``."""
+    columns = {"order_id": F.col("id") % 5000, "product_id": F.col("id") % 1000}
+    columns[hot] = F.when(F.col("id") % 3 == 0, 7).otherwise(columns[hot])
+    return spark.range(0, 60000, 1, 8).select(
+        *[expr.alias(name) for name, expr in columns.items()],
         F.lit(1).alias("order_item_id"),
-        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000).alias("product_id"),
         (F.col("id") % 10).alias("seller_id"),
         F.lit(1).cast("decimal(12,2)").alias("price"),
         F.lit(1).alias("quantity"),
     )
+
+
+def test_a_hot_product_is_split_by_the_build(spark, eager_splits):
     orders = spark.range(5000).selectExpr(
         "id AS order_id", "1 AS waktu_id", "2017 AS tahun", "id % 9 AS pelanggan_key",
         "3 AS durasi_pengiriman",
     )
     produk = spark.range(1000).selectExpr("id AS product_id", "id + 1 AS produk_key")
     seller = spark.range(10).selectExpr("id AS source_seller_id", "id + 1 AS seller_key")
-    lines = build.keyed_lines(items, orders, produk, seller)
-    counted = Counter(key for key, in values(lines.select("produk_key")))
-    expected = Counter(7 + 1 if i % 3 == 0 else i % 1000 + 1 for i in range(60000))
-    assert counted == expected
+    lines = build.keyed_lines(_items(spark, "product_id"), orders, produk, seller)
     keys = lines.select("produk_key", "order_id")
-    keys.collect()
-    assert "skew=true" in plan_of(keys)
+    counted = Counter(row.produk_key for row in keys.collect())
+    assert counted == Counter(7 + 1 if i % 3 == 0 else i % 1000 + 1 for i in range(60000))
+    assert "SortMergeJoin(skew=true) [product_id" in plan_of(keys)
+
+
+@pytest.mark.parametrize(
+    "question, total",
+    [("norm_sales_by_category", 120000.0), ("norm_top_categories", 60000),
+     ("norm_review_by_product", 60000)],
+)
+def test_a_hot_order_is_split(spark, eager_splits, question, total):
+    op = {
+        "order_items": _items(spark, "order_id"),
+        "orders": spark.range(5000).selectExpr("id AS order_id", "id % 9 AS customer_id"),
+        "customers": spark.range(9).selectExpr("id AS customer_id"),
+        "sellers": spark.range(10).selectExpr("id AS seller_id"),
+        "products": spark.range(1000).selectExpr(
+            "id AS product_id", "cast(id % 4 AS string) AS product_category_name"
+        ),
+        "order_payments": spark.range(10000).selectExpr("id % 5000 AS order_id"),
+        "order_reviews": spark.range(5000).selectExpr(
+            "id AS review_id", "id AS order_id", "4 AS review_score"
+        ),
+    }
+    df = getattr(pairs, question)(op)
+    rows = values(df)
+    assert len(rows) == 4 and sum(row[-1] for row in rows) == total
+    assert re.search(r"SortMergeJoin\(skew=true\) \[order_id", plan_of(df))
