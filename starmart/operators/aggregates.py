@@ -76,7 +76,8 @@ def aggregate(
     to the fact for a column of its own; ``where`` maps a dimension to a predicate
     on its columns.
 
-    Small dimensions are joined first, by broadcast. Ahead of the last large one
+    Small dimensions are joined first, by broadcast, then large ones that a
+    predicate makes selective. Ahead of the last large one
     the rows are summed per key of it, so the shuffle carries one row per key
     and map task however often the key occurs.
     """
@@ -87,7 +88,7 @@ def aggregate(
     }
     if star.enforced:
         columns = {d: c for d, c in columns.items() if c or d in where}
-    large = [d for d in columns if not star.is_small(d)]
+    large = sorted((d for d in columns if not star.is_small(d)), key=lambda d: d not in where)
     keys = [DIMENSION_KEYS[d] for d in columns]
     inputs = [m.column for m in measures.values() if m.column]
     inputs += [name for name, (table, _) in by.items() if table == fact]

@@ -210,7 +210,7 @@ def category_trend_of(monthly: DataFrame, min_points: int = 3) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             _slope("total").alias("slope"),
-            F.avg("total").alias("mean"),
+            (F.sum("total").cast("double") / F.count(F.lit(1))).alias("mean"),
         )
         .filter(F.col("n") >= min_points)
     )
@@ -226,7 +226,7 @@ def _category_trend(star: Star, min_points: int = 3) -> DataFrame:
         {"total": total("total_harga")},
         _by(kategori="dim_produk", tahun="dim_waktu", bulan="dim_waktu"),
     )
-    return category_trend_of(monthly.withColumn("total", money(F.col("total"))), min_points)
+    return category_trend_of(monthly, min_points)
 
 
 def category_trend(star: Star, min_points: int = 3) -> DataFrame:

@@ -155,14 +155,15 @@ SELECT CAST(ke AS INT) AS ke, last + CAST(ke AS INT) * INTERVAL 1 MONTH AS month
   n - 1 + ke AS seq
 FROM fit, range(1, 4) r(ke)""",
     "category_months": """
-SELECT kategori, tahun, bulan, CAST(sum(total_harga) AS DOUBLE) AS total,
+SELECT kategori, tahun, bulan, sum(total_harga) AS total,
   row_number() OVER (PARTITION BY kategori ORDER BY tahun, bulan) - 1 AS x
 FROM fakta_penjualan JOIN dim_produk USING (produk_key) JOIN dim_waktu USING (waktu_id)
 GROUP BY kategori, tahun, bulan""",
     "categories": """
-SELECT kategori, CASE WHEN avg(total) > 0 THEN 100 * regr_slope(total, x) / avg(total) ELSE 0 END
-  AS persen, avg(total) AS rata
-FROM category_months GROUP BY kategori HAVING count(*) >= 3""",
+SELECT kategori, CASE WHEN rata > 0 THEN 100 * slope / rata ELSE 0 END AS persen, rata
+FROM (SELECT kategori, regr_slope(CAST(total AS DOUBLE), x) AS slope,
+    CAST(sum(total) AS DOUBLE) / count(*) AS rata
+  FROM category_months GROUP BY kategori HAVING count(*) >= 3) s""",
     "movers": """
 SELECT 'naik' AS side, CAST(r AS INT) AS rank, kategori, persen FROM (
   SELECT *, row_number() OVER (ORDER BY persen DESC, kategori NULLS LAST) AS r FROM categories)
@@ -435,9 +436,9 @@ ORDER BY 3, 1 NULLS LAST, 2 NULLS LAST LIMIT 5""",
     "payment_mix": "SELECT * FROM mix",
     "last_period": "SELECT tahun, bulan FROM months ORDER BY tahun DESC, bulan DESC LIMIT 1",
     "linear_fit_monthly": """
-SELECT 'penjualan' AS metric, n, round(b, 4) AS slope, round(a, 4) AS intercept, n >= 2 AS valid
+SELECT 'penjualan' AS metric, n, round(b, 4) AS slope, round(a, 2) AS intercept, n >= 2 AS valid
 FROM fit
-UNION ALL SELECT 'transaksi', n, round(b_count, 4), round(a_count, 4), n >= 2 FROM fit""",
+UNION ALL SELECT 'transaksi', n, round(b_count, 4), round(a_count, 2), n >= 2 FROM fit""",
     "forecast_3m": """SELECT ke, CAST(year(month) AS INT) AS tahun, CAST(month(month) AS INT) AS bulan,
   round(penjualan, 2) AS penjualan, transaksi FROM projection""",
     "growth_direction": "SELECT round(persen, 6) AS persen, arah FROM growth",
