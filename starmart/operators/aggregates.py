@@ -77,9 +77,9 @@ def aggregate(
     on its columns.
 
     Small dimensions are joined first, by broadcast, then large ones that a
-    predicate makes selective. Ahead of the last large one
-    the rows are summed per key of it, so the shuffle carries one row per key
-    and map task however often the key occurs.
+    predicate makes selective. Ahead of the last large one the rows are summed
+    per key of it, so the shuffle carries one row per key and map task however
+    often the key occurs.
     """
     by, where = by or {}, where or {}
     columns = {
