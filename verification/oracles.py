@@ -442,7 +442,7 @@ UNION ALL SELECT 'transaksi', n, round(b_count, 4), round(a_count, 2), n >= 2 FR
     "forecast_3m": """SELECT ke, CAST(year(month) AS INT) AS tahun, CAST(month(month) AS INT) AS bulan,
   round(penjualan, 2) AS penjualan, transaksi FROM projection""",
     "growth_direction": "SELECT round(persen, 6) AS persen, arah FROM growth",
-    "category_trend": """SELECT kategori, round(persen, 6) AS persen, round(rata, 4) AS rata
+    "category_trend": """SELECT kategori, round(persen, 6) AS persen, rata
 FROM categories""",
     "category_movers": "SELECT side, rank, kategori, round(persen, 6) AS persen FROM movers",
     "recommendations": """
