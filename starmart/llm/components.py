@@ -24,14 +24,13 @@ def components(links: DataFrame) -> DataFrame:
     Every node of a link comes out, the root itself included. Links with a null end
     are ignored; a link of a node to itself gives that node alone.
     """
-    links = links.dropna(subset=["a", "b"])
-    alone = links.select(F.explode(F.array("a", "b")).alias("node"))
-    edges = keep(
-        links.filter("a <> b")
+    links = keep(
+        links.dropna(subset=["a", "b"])
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct(),
         "links",
     )
+    edges = links.filter("a <> b")
     before = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
@@ -43,8 +42,7 @@ def components(links: DataFrame) -> DataFrame:
         )
         small = (
             _lowest(large, "a", "b")
-            .select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
+            .select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
             .filter("a <> b")
             .distinct()
         )
@@ -56,5 +54,6 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = now
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    lone = alone.join(stars, "node", "left_anti").select("node", F.col("node").alias("root"))
-    return stars.union(lone.distinct())
+    roots = stars.select(F.col("root").alias("node"), "root").distinct()
+    lone = links.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
+    return stars.union(roots).union(lone.join(stars.union(roots), "node", "left_anti"))

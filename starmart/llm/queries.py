@@ -5,19 +5,119 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from starmart.llm.language_model import score_texts
 from starmart.llm.ngram_join import ngram_classes
-from starmart.llm.store import table
+from starmart.llm.packing import pack
+from starmart.llm.quality import score_quality
+from starmart.llm.quotes import reply_order
+from starmart.llm.secrets import scan_secrets
+from starmart.llm.store import new_folder, table
+from starmart.llm.tiling import contaminated
+from starmart.llm.token_files import read_tokens, write_tokens
+from starmart.llm.topk import top_k
+from starmart.llm.urls import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def op1_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five highest inner products for every vector whose id is divisible by 50."""
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("long"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows = table(spark, folder, "embeddings").filter(F.col("embedding").isNotNull() & finite).select(
+        F.col("vec_id").alias("id"),
+        F.sequence(F.lit(0).cast("long"), F.size("embedding").cast("long")).alias("places"),
+        whole.alias("all"),
+    )
+    # Zero weights are left out of the index.
+    rows = rows.withColumn("some", F.filter(F.arrays_zip("places", "all"), lambda x: x["all"] != 0)).select(
+        "id", F.transform("some", lambda x: x["places"]).alias("terms"), F.transform("some", lambda x: x["all"]).alias("weights")
+    )
+    found = top_k(rows, rows.filter(F.col("id") % 50 == 0), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = new_folder(spark, "tokens")
+    parts = write_tokens(table(spark, folder, "documents"), files, tokenizer_path(), end_id=1, vocabulary=49_408)
+    return read_tokens(parts, files, vocabulary=49_408)
+
+
+def op3_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
+    messages = reply_order(table(spark, folder, "conversations"))
+    return messages.select(
+        "conv_id", "turn", "reply_to", "thread", "depth", "n_quotes", "n_linked",
+        F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+
+
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_secrets(table(spark, folder, "documents"))
+    return found.select("doc_id", "nth", "start", F.length("candidate").alias("length"), "secret")
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"))
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), tokenizer_path(), end_id=0, capacity=2048)
+
 
 def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_classes(table(spark, folder, "documents"), words=4, percent=85)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_exact_topk": op1_exact_topk,
+    "op2_token_files": op2_token_files,
+    "op3_quotation_linking": op3_quotation_linking,
+    "op4_decontamination": op4_decontamination,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_url_filter": op6_url_filter,
+    "op7_quality": op7_quality,
+    "op8_deleted_interpolation": op8_deleted_interpolation,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_exact_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ),
+        r AS (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+        )
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+    """,
+}
