@@ -1,28 +1,81 @@
-"""The corpus pipeline: stages over ``documents``, each on all that the one before kept."""
+"""The corpus pipeline: stages over ``documents``, each on all that the one before kept.
+
+Decisions are made per ``doc_id`` and applied to all its rows; rows with a null id pass the
+filtering stages. Lists of ids are written before they meet the documents, so that Spark
+knows their size when it chooses how to join.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starmart.llm.ngram_join import ngram_classes
+from starmart.llm.packing import pack
+from starmart.llm.quality import score_quality
+from starmart.llm.queries import tokenizer_path
+from starmart.llm.secrets import redact, scan_secrets
 from starmart.llm.store import keep, table
+from starmart.llm.tiling import contaminated
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
+END_ID, CAPACITY = 0, 2048
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    return docs.join(keep(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. An id goes if all its rows are rejected."""
+    scored = score_quality(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scored.groupBy("doc_id").agg(F.max("predicted").alias("best")).filter("best = 0"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
-    named = ngram_classes(docs, words=WORDS, percent=PERCENT)
-    kept = named.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The document with the smallest id of each group of near copies.
+
+    An id on several rows stays if one of its rows names its group; of these rows, equal
+    texts are left once.
+    """
+    named = keep(ngram_classes(docs, words=WORDS, percent=PERCENT), "named")
+    by_id = named.groupBy("doc_id").agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")
+    )
+    by_id = keep(by_id.filter("doc_id is not null and (rows > 1 or not stays)"), "by-id")
+    single = _without(docs, by_id)
+    several = docs.join(by_id.filter("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(several.select(docs.columns))
+
+
+def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no test item."""
+    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark and ``n_chars`` counted anew."""
+    clean = redact(docs, scan_secrets(docs))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of tokens: a row for each piece of a document, with its place."""
+    return pack(docs, tokenizer_path(), END_ID, CAPACITY)
 
 
-STAGES: list[tuple[str, Stage]] = [("n-gram Jaccard join", one_of_each_group)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", free_of_benchmarks),
+    ("secret scans", without_secrets),
+    ("best-fit packing", packed),
+]
 
 #: SQL cannot express the classifier, the tiling or the packing.
 ORACLE_SQL = None
