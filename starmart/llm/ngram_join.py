@@ -96,8 +96,9 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
 def _digest(grams: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set."""
     mixed = mix(grams)
-    a, b = mixed.sum(dtype=_U), (mixed * mix(mixed)).sum(dtype=_U)
-    return int(mix(a).view(np.int64)), int(mix(b).view(np.int64))
+    sums = np.stack([mixed, mixed * mix(mixed)]).sum(1, dtype=_U)
+    a, b = mix(sums).view(np.int64)
+    return int(a), int(b)
 
 
 def _describe(n: int, percent: int):
