@@ -39,7 +39,7 @@ from starmart.llm.words import mix, words
 _U = np.uint64
 END = _U(0x5851F42D4C957F2D)
 #: UTF-8 bytes in a chunk, about; a longer document is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 CONTEXTS = 24
 #: Bins of the histogram that weights are learned from: tenths of log10 of a probability.
 BINS = 200
@@ -58,6 +58,22 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).reshape(-1)
 
 
+def _pack_sorted(hashes: np.ndarray) -> bytes:
+    """Steps between sorted hashes have fewer bits than the hashes."""
+    return _pack(np.diff(hashes, prepend=_U(0)), "<u8")
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, "<u8"), dtype=_U)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after another, so that only one is unpacked at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _fold(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10
 
@@ -75,7 +91,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _pack(np.array([i is None for i in ids]), "u1"),
             _pack(np.array([_fold(i) == 0 for i in ids]), "u1"),
             _pack(np.array(sizes), "<u4"),
-            vocabulary.tobytes(),
+            _pack_sorted(vocabulary),
             _pack(tokens, "<u4"),
         )
         return pa.RecordBatch.from_arrays(
@@ -106,8 +122,8 @@ class _Chunk:
         self.nulls = _unpack(row["nulls"], "u1").astype(bool)
         self.held = _unpack(row["held"], "u1").astype(bool)
         self.sizes = _unpack(row["sizes"], "<u4").astype(np.int64)
-        self.vocabulary = np.frombuffer(row["vocabulary"], _U)
-        self.tokens = _unpack(row["tokens"], "<u4").astype(np.int64)
+        self.vocabulary = _unpack_sorted(row["vocabulary"])
+        self.tokens = _unpack(row["tokens"], "<u4")
         self.first = np.append(0, np.cumsum(self.sizes))
         end = int(np.searchsorted(self.vocabulary, END))
         before = np.empty_like(self.tokens)
@@ -126,20 +142,19 @@ class _Chunk:
 def _ask(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(k << 64) // buckets for k in range(1, buckets)], _U)
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = []
-                for kind, hashes, counts in _Chunk(row).requests():
-                    cuts = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
-                    for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                        if j > i:
-                            out.append((b, row["chunk"], kind, hashes[i:j].tobytes(), _pack(counts[i:j], "<u4")))
-                columns = list(zip(*out))
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)],
-                    names=["bucket", "chunk", "kind", "hashes", "counts"],
-                )
+        for row in _rows(batches):
+            out = []
+            for kind, hashes, counts in _Chunk(row).requests():
+                cuts = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+                for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                    if j > i:
+                        out.append((b, row["chunk"], kind, _pack_sorted(hashes[i:j]), _pack(counts[i:j], "<u4")))
+            columns = list(zip(*out))
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                names=["bucket", "chunk", "kind", "hashes", "counts"],
+            )
 
     return run
 
@@ -149,7 +164,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held at a time. Beside the answers: how many words training has, and how often."""
 
     def close(kind: int, bucket: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        asked = [np.frombuffer(r[1], _U) for r in rows]
+        asked = [_unpack_sorted(r[1]) for r in rows]
         distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
         counts = np.concatenate([_unpack(r[2], "<u4") for r in rows])
         total = np.zeros(len(distinct), np.int64)
@@ -211,15 +226,14 @@ def _histogram(total: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, int] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk, word, context, pair = _counted(row)
-                use = chunk.train
-                word, context, pair = word[use] - 1, context[use] - 1, pair[use] - 1
-                cell = (_bucket_of(context) * BINS + _bin(pair / np.maximum(context, 1))) * BINS
-                cell += _bin(word / max(total - 1, 1))
-                for c, k in zip(*np.unique(cell, return_counts=True)):
-                    sums[int(c)] = sums.get(int(c), 0) + int(k)
+        for row in _rows(batches):
+            chunk, word, context, pair = _counted(row)
+            use = chunk.train
+            word, context, pair = word[use] - 1, context[use] - 1, pair[use] - 1
+            cell = (_bucket_of(context) * BINS + _bin(pair / np.maximum(context, 1))) * BINS
+            cell += _bin(word / max(total - 1, 1))
+            for c, k in zip(*np.unique(cell, return_counts=True)):
+                sums[int(c)] = sums.get(int(c), 0) + int(k)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["cell", "n"]
         )
@@ -248,27 +262,26 @@ def learn_weights(cells: np.ndarray, number: np.ndarray, uniform: float, rounds:
 
 def _score(weights: np.ndarray, total: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk, word, context, pair = _counted(row)
-                w = weights[_bucket_of(context)]
-                p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(total, 1) + w[:, 2] / (distinct + 1)
-                if not total:
-                    p = np.ones(len(word))
-                base = np.log10((word + 0.1) / (total + 0.1 * (distinct + 1)))
-                sums = lambda x: np.add.reduceat(x, chunk.first[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(chunk.ids, mask=chunk.nulls),
-                        pa.array(chunk.held),
-                        pa.array(chunk.sizes),
-                        pa.array(sums((word > 0).astype(np.int64))),
-                        pa.array(np.full(len(chunk.ids), total)),
-                        pa.array(sums(base)),
-                        pa.array(sums(np.log10(p))),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for row in _rows(batches):
+            chunk, word, context, pair = _counted(row)
+            w = weights[_bucket_of(context)]
+            p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(total, 1) + w[:, 2] / (distinct + 1)
+            if not total:
+                p = np.ones(len(word))
+            base = np.log10((word + 0.1) / (total + 0.1 * (distinct + 1)))
+            sums = lambda x: np.add.reduceat(x, chunk.first[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(chunk.ids, mask=chunk.nulls),
+                    pa.array(chunk.held),
+                    pa.array(chunk.sizes),
+                    pa.array(sums((word > 0).astype(np.int64))),
+                    pa.array(np.full(len(chunk.ids), total)),
+                    pa.array(sums(base)),
+                    pa.array(sums(np.log10(p))),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return run
 
