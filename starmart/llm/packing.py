@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starmart.llm.store import keep, prepare
-from starmart.llm.tokens import Encoder
+from starmart.llm.tokens import encoder
 
 
 class Run(NamedTuple):
@@ -115,13 +115,13 @@ def plan(counts: Mapping[int, int], capacity: int) -> list[Run]:
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        tokens = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         task = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column("id").to_pylist(), encoder.batch(batch.column("text"))):
+            for doc, ids in zip(batch.column("id").to_pylist(), tokens.batch(batch.column("text"))):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

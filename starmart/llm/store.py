@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from starmart.session import prepare_session, scratch_table, shared_folder
 
 #: Rows that cross to Python at a time, so that long texts stay within a worker's memory.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "256"
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starmart.llm.store import keep, partitions, prepare
-from starmart.llm.tokens import Encoder
+from starmart.llm.tokens import encoder
 
 #: UTF-8 bytes of text in one part, about.
 PART_BYTES = 32 << 20
@@ -62,12 +62,12 @@ def _view(fs: FileSystem, path: str, kind: str) -> np.ndarray:
 
 def _encode(path: str, end_id: int, width: str, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        tokens = encoder(path)
         end = np.array([end_id], width).tobytes()
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             found = [
-                np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in encoder.batch(batch.column("text"))
+                np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in tokens.batch(batch.column("text"))
             ]
             part = np.searchsorted(bounds, ids, "left").astype(np.int32)
             yield pa.RecordBatch.from_arrays(
