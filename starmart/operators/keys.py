@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,17 +16,21 @@ from starmart.session import scratch_table
 _INDEX_BITS = 33
 
 
-def surrogate_keys(df: DataFrame, business_key: str, key: str = "key") -> DataFrame:
-    """Add ``key``: 1, 2, 3, … in the order of ``business_key``.
+def surrogate_keys(
+    df: DataFrame, business_key: str | Sequence[str], key: str = "key"
+) -> DataFrame:
+    """Add ``key``: 1, 2, 3, … in the order of ``business_key``, of one column or several.
 
     Rows are range-partitioned and sorted, so a row's number is its index in its
     partition plus the rows of the partitions before it. The indexed rows are
     written first: the counts and the numbering then read the same layout even
     if tasks are run again.
     """
+    names = [business_key] if isinstance(business_key, str) else business_key
+    order = [F.col(name).asc_nulls_last() for name in names]
     indexed = scratch_table(
-        df.repartitionByRange(F.col(business_key).asc_nulls_last())
-        .sortWithinPartitions(F.col(business_key).asc_nulls_last())
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .withColumn("_index", F.monotonically_increasing_id()),
         "keys",
     )
@@ -47,8 +52,17 @@ def surrogate_keys(df: DataFrame, business_key: str, key: str = "key") -> DataFr
 
 
 def cleanse(df: DataFrame, business_key: str) -> DataFrame:
-    """Drop rows without a business key and keep one row per key."""
-    return df.dropna(subset=[business_key]).dropDuplicates([business_key])
+    """Drop rows without a business key and keep one row per key.
+
+    Of rows that differ the lowest stays, column by column, so a run that is repeated
+    keeps the same one.
+    """
+    others = [name for name in df.columns if name != business_key]
+    rows = df.dropna(subset=[business_key])
+    if not others:
+        return rows.distinct()
+    lowest = rows.groupBy(business_key).agg(F.min(F.struct(*others)).alias("_row"))
+    return lowest.select(*[name if name == business_key else f"_row.{name}" for name in df.columns])
 
 
 def _labelled(df: DataFrame, table: str, column: str) -> DataFrame:

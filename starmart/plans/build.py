@@ -6,6 +6,9 @@ keyed lines carry what later facts need, so each large join is done once.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ def dim_produk(
     products: DataFrame, translation: DataFrame, on: str = "category_code"
 ) -> DataFrame:
     keyed = surrogate_keys(cleanse(products, "product_id"), "product_id", "produk_key")
-    return keyed.join(translation.dropDuplicates([on]), on, "left").select(
+    return keyed.join(cleanse(translation, on), on, "left").select(
         "produk_key",
         F.col("product_code").alias("produk_id"),
         F.col("product_category_name").alias("kategori"),
@@ -71,8 +74,8 @@ def dim_seller(sellers: DataFrame) -> DataFrame:
 
 
 def dim_metode_pembayaran(payments: DataFrame) -> DataFrame:
-    """Methods of the first payment of an order; vouchers and the like come second."""
-    methods = payments.filter("payment_sequential = 1").select("payment_code", "payment_type")
+    """Methods of all payments."""
+    methods = payments.select("payment_code", "payment_type")
     return surrogate_keys(
         cleanse(methods.distinct(), "payment_code"), "payment_code", "metode_key"
     ).select(
@@ -131,37 +134,35 @@ def fakta_penjualan(lines: DataFrame) -> DataFrame:
 
 
 def fakta_pengiriman(lines: DataFrame) -> DataFrame:
-    """One delivery per order, told by its first item."""
-    return lines.filter("order_item_id = 1").select(
+    """One delivery per order item, as it names the item's product and seller."""
+    return lines.select(
         "waktu_id", "pelanggan_key", "seller_key", "produk_key", "durasi_pengiriman", "tahun"
     )
 
 
 def fakta_pembayaran(payments: DataFrame, orders: DataFrame, metode: DataFrame) -> DataFrame:
-    first = payments.filter("payment_sequential = 1")
-    return (
-        first.join(metode.select("payment_code", "metode_key"), "payment_code")
-        .join(orders.select("order_id", "waktu_id", "pelanggan_key", "tahun"), "order_id")
-        .select(
-            F.col("order_id").alias("pembayaran_key"),
-            "waktu_id",
-            "pelanggan_key",
-            "metode_key",
-            F.col("payment_value").cast(MONEY).alias("total_bayar"),
-            "tahun",
-        )
+    """One row per payment, numbered by order and place among the order's payments."""
+    matched = payments.join(metode.select("payment_code", "metode_key"), "payment_code").join(
+        orders.select("order_id", "waktu_id", "pelanggan_key", "tahun"), "order_id"
+    )
+    numbered = surrogate_keys(matched, ["order_id", "payment_sequential"], "pembayaran_key")
+    return numbered.select(
+        "pembayaran_key",
+        "waktu_id",
+        "pelanggan_key",
+        "metode_key",
+        F.col("payment_value").cast(MONEY).alias("total_bayar"),
+        "tahun",
     )
 
 
 def fakta_review(reviews: DataFrame, lines: DataFrame) -> DataFrame:
-    """Reviews, each on the product of the order's first item."""
-    first = lines.filter("order_item_id = 1").select(
-        "order_id", "waktu_id", "pelanggan_key", "produk_key", "tahun"
-    )
+    """A row per review and item of its order, on the item's product."""
+    items = lines.select("order_id", "waktu_id", "pelanggan_key", "produk_key", "tahun")
     return (
         cleanse(reviews, "review_id")
         .select("order_id", F.col("review_score").alias("skor_review"))
-        .join(first, "order_id")
+        .join(items, "order_id")
         .select("waktu_id", "pelanggan_key", "produk_key", "skor_review", "tahun")
     )
 
@@ -171,3 +172,33 @@ def fakta_seller(penjualan: DataFrame) -> DataFrame:
     keys = ["waktu_id", "seller_key", "produk_key"]
     keys += [c for c in ("tahun",) if c in penjualan.columns]
     return penjualan.groupBy(*keys).agg(F.sum("jumlah").alias("jumlah_terjual"))
+
+
+def reconcile(star: Mapping[str, DataFrame], source: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows and money of each fact beside those of the tables that it comes from.
+
+    A load that keeps everything has equal numbers on both sides.
+    """
+    none = F.lit(None).cast("double")
+    items = source["order_items"]
+    per_order = items.groupBy("order_id").agg(F.count("*").alias("n"))
+    reviewed = source["order_reviews"].join(per_order, "order_id")
+    sides = {
+        "fakta_penjualan": (items.agg(F.count("*").alias("rows"), F.sum("price").cast("double").alias("total")), "total_harga"),
+        "fakta_pengiriman": (items.agg(F.count("*").alias("rows"), none.alias("total")), None),
+        "fakta_pembayaran": (
+            source["order_payments"].agg(F.count("*").alias("rows"), F.sum("payment_value").cast("double").alias("total")),
+            "total_bayar",
+        ),
+        "fakta_review": (reviewed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), none.alias("total")), None),
+    }
+    rows = []
+    for fact, (expected, money) in sides.items():
+        total = F.sum(money).cast("double") if money else none
+        loaded = star[fact].agg(F.count("*").alias("fact_rows"), total.alias("fact_total"))
+        # One row each.
+        rows.append(
+            expected.select(F.lit(fact).alias("fact"), F.col("rows").alias("source_rows"), F.col("total").alias("source_total"))
+            .join(loaded.withColumn("fact", F.lit(fact)), "fact")
+        )
+    return reduce(DataFrame.unionByName, rows)

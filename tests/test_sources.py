@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 
 from starmart.model import DIMENSION_KEYS, OPERATIONAL_SCHEMAS, STAR_SCHEMAS
-from starmart.operators.keys import check_foreign_keys, check_unique_keys
+from starmart.operators.keys import check_foreign_keys, check_unique_keys, cleanse
 from starmart.plans import build, dashboard
 from starmart.session import shared_folder
 from starmart.sources.given import operational_tables
@@ -131,19 +131,27 @@ def test_build_on_awkward_rows(spark):
         (1, "P1", None), (2, "P2", None), (3, "P3", "X-en"),
     ]
     assert sorted(r[:2] for r in values(pelanggan)) == [(1, "C7"), (2, "C8")]
-    assert sorted(r[:2] for r in values(metode)) == [(1, None), (2, "boleto")]
+    assert sorted(r[:2] for r in values(metode)) == [(1, None), (2, "boleto"), (3, "voucher")]
     # Order 12 has no customer row, item 99 no product row.
     assert sorted(values(sales)) == [
         (1, 1, 2, 1, 1, money(1), 2017),
         (1, 3, 1, 1, 2, money(5), 2017), (1, 3, 1, 1, 3, money(5), 2017),
     ]
     assert sorted(values(build.fakta_pengiriman(lines)), key=str) == [
-        (1, 1, 1, 3, 3, 2017), (1, 2, 1, 1, None, 2017),
+        (1, 1, 1, 3, 3, 2017), (1, 1, 1, 3, 3, 2017), (1, 2, 1, 1, None, 2017),
     ]
     assert sorted(values(build.fakta_pembayaran(payments, keyed, metode))) == [
-        (10, 1, 1, 2, money(9), 2017), (11, 1, 2, 1, money(2), 2017),
+        (1, 1, 1, 2, money(9), 2017), (2, 1, 1, 3, money(1), 2017), (3, 1, 2, 1, money(2), 2017),
     ]
     assert sorted(values(build.fakta_review(reviews, lines))) == [
-        (1, 1, 3, 5, 2017), (1, 2, 1, 3, 2017),
+        (1, 1, 3, 5, 2017), (1, 1, 3, 5, 2017), (1, 2, 1, 3, 2017),
     ]
     assert sorted(values(build.fakta_seller(sales))) == [(1, 1, 1, 2017, 1), (1, 1, 3, 2017, 5)]
+
+
+def test_cleanse_keeps_the_same_row_in_any_order(spark):
+    rows = [(1, "b", 2), (1, "a", 9), (1, None, 7), (2, "z", 1), (None, "a", 1)]
+    schema = "id long, name string, n int"
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, schema).repartition(3)
+        assert sorted(values(cleanse(df, "id")), key=str) == [(1, None, 7), (2, "z", 1)]

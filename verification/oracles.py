@@ -53,9 +53,11 @@ SELECT row_number() OVER (ORDER BY s_suppkey) AS seller_key, s_name AS seller_id
   'KOTA_' || CAST(s_suppkey % 97 AS VARCHAR) AS kota, {_state("s_nationkey")} AS state, s_suppkey
 FROM supplier""",
     "dim_metode_pembayaran": f"""
-SELECT CAST(row_number() OVER (ORDER BY o_orderpriority) AS INT) AS metode_key,
-  {_METHOD} AS metode_pembayaran, o_orderpriority
-FROM (SELECT DISTINCT o_orderpriority FROM orders) x""",
+SELECT CAST(row_number() OVER (ORDER BY payment_code) AS INT) AS metode_key,
+  metode_pembayaran, payment_code
+FROM (
+  SELECT o_orderpriority AS payment_code, {_METHOD} AS metode_pembayaran FROM orders
+  UNION SELECT 'voucher', 'voucher' FROM orders WHERE o_orderkey % 10 = 0) x""",
     "fakta_penjualan": f"""
 SELECT waktu_id, produk_key, pelanggan_key, seller_key, CAST(l_quantity AS INT) AS jumlah,
   CAST(l_extendedprice AS DECIMAL(12,2)) AS total_harga
@@ -64,20 +66,25 @@ SELECT waktu_id, produk_key, pelanggan_key, seller_key, CAST(l_quantity AS INT)
 SELECT waktu_id, pelanggan_key, seller_key, produk_key,
   CASE WHEN o_orderstatus = 'P' THEN NULL
     ELSE CAST(1 + (o_orderkey * 13 + o_custkey) % 60 AS INT) END AS durasi_pengiriman
-{_FACT_JOIN} WHERE l_linenumber = 1""",
+{_FACT_JOIN}""",
     "fakta_pembayaran": """
-SELECT o_orderkey AS pembayaran_key, waktu_id, pelanggan_key, metode_key,
-  CAST(o_totalprice AS DECIMAL(12,2)) AS total_bayar
-FROM orders JOIN dim_waktu ON CAST(o_orderdate AS DATE) = tanggal
+SELECT row_number() OVER (ORDER BY o_orderkey, seq) AS pembayaran_key, waktu_id, pelanggan_key,
+  metode_key, CAST(paid AS DECIMAL(12,2)) AS total_bayar
+FROM (
+  SELECT o_orderkey, o_custkey, o_orderdate, 1 AS seq, o_orderpriority AS code, o_totalprice AS paid
+  FROM orders
+  UNION ALL
+  SELECT o_orderkey, o_custkey, o_orderdate, 2, 'voucher', 1 FROM orders WHERE o_orderkey % 10 = 0) p
+JOIN dim_waktu ON CAST(o_orderdate AS DATE) = tanggal
 JOIN dim_pelanggan ON o_custkey = c_custkey
-JOIN dim_metode_pembayaran m ON orders.o_orderpriority = m.o_orderpriority""",
+JOIN dim_metode_pembayaran m ON code = payment_code""",
     "fakta_review": """
 SELECT waktu_id, pelanggan_key, produk_key,
   CAST(1 + (o_orderkey * 7 + o_custkey) % 5 AS INT) AS skor_review
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 JOIN dim_waktu ON CAST(o_orderdate AS DATE) = tanggal
 JOIN dim_produk ON l_partkey = p_partkey
-JOIN dim_pelanggan ON o_custkey = c_custkey WHERE l_linenumber = 1""",
+JOIN dim_pelanggan ON o_custkey = c_custkey""",
     "fakta_seller": """
 SELECT waktu_id, seller_key, produk_key, CAST(sum(jumlah) AS BIGINT) AS jumlah_terjual
 FROM fakta_penjualan GROUP BY ALL""",
@@ -547,6 +554,18 @@ ORDER BY 2 DESC, 1 NULLS LAST LIMIT 10""",
   round({_EPOCH_DAYS}, 2) AS avg_delivery_days
 FROM n_orders JOIN n_customers USING (customer_id) GROUP BY 1""",
 }
+# What the facts must hold, told from the raw tables alone.
+QUERIES["reconcile_facts"] = """
+SELECT fact, n AS source_rows, total AS source_total, n AS fact_rows, total AS fact_total
+FROM (
+  SELECT 'fakta_penjualan' AS fact, count(*) AS n,
+    CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS total FROM lineitem
+  UNION ALL SELECT 'fakta_pengiriman', count(*), NULL FROM lineitem
+  UNION ALL SELECT 'fakta_pembayaran', count(*) + count(*) FILTER (WHERE o_orderkey % 10 = 0),
+    CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) + count(*) FILTER (WHERE o_orderkey % 10 = 0) AS DOUBLE)
+  FROM orders
+  UNION ALL SELECT 'fakta_review', count(*), NULL
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) x"""
 QUERIES["pair_rowcounts"] = _pair_counts()
 QUERIES["geo_json"] = """
 SELECT tipe, data, max, '{"tipe":"' || tipe || '","data":' || data || ',"max":' || max || '}'
