@@ -88,7 +88,10 @@ def read_messages(messages: DataFrame) -> DataFrame:
     echo = F.filter(own_lines, lambda x: F.size(F.split(normalised(x["line"]), " ")) >= ECHO_WORDS)
     return parts.select(
         "conv_id", "turn", "role",
-        F.trim(F.array_join(F.transform(F.filter("passages", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")).alias("own"),
+        F.regexp_replace(
+            F.array_join(F.transform(F.filter("passages", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"),
+            r"^\s+|\s+$", "",
+        ).alias("own"),
         F.transform(quoted, lambda x: F.struct(x["level"].alias("level"), code(x["line"]).alias("hash"))).alias("quotes"),
         F.transform(echo, lambda x: F.struct(F.lit(0).alias("level"), code(x["line"]).alias("hash"))).alias("echoes"),
         F.array_distinct(
