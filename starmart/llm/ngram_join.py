@@ -5,9 +5,9 @@ distinct n-grams. The steps:
 
 1. Equal sets become one class (hash aggregation), so copies cost one row each.
 2. Size-banded keys find which classes may link. Linked sets differ in at most k
-   n-grams, k following from their size band. Cut the hash space into k + 1 + spare
-   parts: at least 1 + spare parts then hold the same n-grams in both. A key is
-   the band, the part and the hash of what the part holds. Sharing a passage is not
+   n-grams, k following from their size band. Cut the hash space into more than k / 2
+   parts: some part then differs in one n-gram at most, and of its thirds two hold the same in
+   both. A key is the band, two thirds of a part and the hash of what they hold. Sharing a passage is not
    enough to share a key, sharing nearly all n-grams is.
 3. Classes that meet under a key, or are so connected, form a cluster. A key gives one link to its
    lowest class per class, first in each task and then over all, never all pairs.
@@ -41,7 +41,7 @@ _U = np.uint64
 GATHER = 1 << 21
 BUCKET = 1 << 20
 #: A tile's documents and n-grams at most.
-TILE_ROWS = 512
+TILE_ROWS = 2048
 TILE_GRAMS = 1 << 21
 
 
@@ -53,37 +53,43 @@ def bands(percent: int) -> np.ndarray:
     return np.array(low, np.int64)
 
 
-def differences(percent: int, low: np.ndarray, scheme: int) -> int:
-    """Most n-grams in which two linked sets differ, if the smaller is of the scheme."""
-    most = int(low[2 * scheme + 2]) - 1
+def differences(percent: int, low: np.ndarray, band: int) -> int:
+    """Most n-grams in which two linked sets differ, if the smaller is of the band."""
+    most = int(low[band + 1]) - 1
     return (100 - percent) * (most + most * 100 // percent) // (100 + percent)
 
 
 def parts_of(k: int) -> int:
-    """Parts for k differences: some to spare for those that stay empty."""
-    return k + 2 + (k + 1) // 10
+    """Parts for k differences: some to spare for those with empty thirds."""
+    return k // 2 + 2 + k // 20
 
 
 def keys_of(grams: np.ndarray, percent: int, low: np.ndarray) -> np.ndarray:
     """Keys of one set, given as sorted distinct hashes."""
-    band = int(np.searchsorted(low, len(grams), "right")) - 1
+    own = int(np.searchsorted(low, len(grams), "right")) - 1
     sums = np.zeros(len(grams) + 1, _U)
     np.cumsum(mix(grams), out=sums[1:])
     out = []
-    for scheme in {band // 2, max(band - 1, 0) // 2}:
-        k = differences(percent, low, scheme)
+    for band in {own, max(own - 1, 0)}:
+        k = differences(percent, low, band)
         if k == 0:
             continue
         n = parts_of(k)
-        step = _U((1 << 64) // n)
-        ends = np.append(np.searchsorted(grams, np.arange(1, n, dtype=_U) * step), len(grams))
+        step = _U((1 << 64) // (3 * n))
+        ends = np.append(np.searchsorted(grams, np.arange(1, 3 * n, dtype=_U) * step), len(grams))
         begins = np.append(0, ends[:-1])
-        part = np.arange(n, dtype=_U)
-        if (ends > begins).sum() > k:
-            # At most k parts differ, so a part that is equal and not empty exists.
-            full = ends > begins
-            begins, ends, part = begins[full], ends[full], part[full]
-        out.append(mix(sums[ends] - sums[begins] + mix(part + _U(1 + scheme * (1 << 40)))))
+        held = (sums[ends] - sums[begins]).reshape(n, 3)
+        full = (ends > begins).reshape(n, 3)
+        # Thirds 0 and 1, 1 and 2, 2 and 0 of each part.
+        both = held + np.roll(held, -1, 1)
+        some = full | np.roll(full, -1, 1)
+        place = np.arange(3 * n, dtype=_U).reshape(n, 3)
+        keys = mix(both + mix(place + _U(1 + band * (1 << 40))))
+        if some.all(1).sum() > k // 2:
+            # One of these parts differs in one n-gram at most, so a key that is equal
+            # and not empty exists.
+            keys = keys[some]
+        out.append(keys.ravel())
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
@@ -326,7 +332,7 @@ def ngram_classes(
     )
 
     total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8 * partitions(spark), int(0.4 * total) // BUCKET)
+    buckets = max(8 * partitions(spark), int(1.2 * total) // BUCKET)
     sent = texts.select("text").mapInArrow(
         _send(words, percent, buckets), "bucket int, keys binary, owners binary, links binary"
     )
