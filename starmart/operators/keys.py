@@ -87,17 +87,19 @@ def check_foreign_keys(star: Star) -> DataFrame:
 
 
 def check_unique_keys(star: Star) -> DataFrame:
-    """Values per unique column that occur more than once."""
-    columns = [*DIMENSION_KEYS.items(), ("dim_metode_pembayaran", "metode_pembayaran")]
-    columns += FACT_KEYS.items()
+    """Values per unique column that occur more than once.
+
+    A missing primary key counts as such a value; a unique label may be missing.
+    """
+    label = ("dim_metode_pembayaran", "metode_pembayaran")
     checks = []
-    for table, column in columns:
-        repeated = (
-            star[table].filter(F.col(column).isNotNull())
-            .groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-            .filter("n > 1")
+    for table, column in [*DIMENSION_KEYS.items(), label, *FACT_KEYS.items()]:
+        per_value = star[table].groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+        missing, repeated = F.col(column).isNull(), F.col("n") > 1
+        broken = per_value.filter(
+            repeated & ~missing if (table, column) == label else repeated | missing
         )
         checks.append(
-            _labelled(repeated.agg(F.count(F.lit(1)).alias("duplicates")), table, column)
+            _labelled(broken.agg(F.count(F.lit(1)).alias("duplicates")), table, column)
         )
     return reduce(DataFrame.unionByName, checks)

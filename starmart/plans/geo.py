@@ -12,6 +12,7 @@ from starmart.functions.scalars import non_empty
 from starmart.model import Star
 from starmart.operators.aggregates import aggregate, distinct_count
 from starmart.operators.joins import attach, attach_all
+from starmart.operators.keys import cleanse
 from starmart.operators.ordering import ranked
 
 
@@ -79,6 +80,8 @@ def geo_payment_semi(star: Star, f: FilterSpec) -> DataFrame:
         "dim_metode_pembayaran",
         where=method,
     )
+    if "dim_waktu" in where:
+        paid = attach(paid, star, "dim_waktu", where=where["dim_waktu"])
     pair = ["waktu_id", "pelanggan_key"]
     buyers = (
         sales.select(*pair).distinct()
@@ -93,7 +96,8 @@ def geo_payment_semi(star: Star, f: FilterSpec) -> DataFrame:
         "state",
         where=where["dim_pelanggan"] & named if "dim_pelanggan" in where else named,
     )
-    counts = located.groupBy("state").agg(F.count_distinct("pelanggan_key").alias("jumlah"))
+    # Buyers are distinct and a customer has one row, so rows are customers.
+    counts = located.groupBy("state").agg(F.count(F.lit(1)).alias("jumlah"))
     return ranked(counts, "jumlah", "state")
 
 
@@ -109,12 +113,15 @@ def geo_enrich(counts: DataFrame, coordinates: DataFrame | None = None) -> DataF
     """Coordinates of each state and the largest count among the known ones.
 
     States are trimmed after they were counted, so a padded and a plain spelling
-    stay two rows. A state without coordinates is dropped.
+    stay two rows. A state without coordinates is dropped. Only the built-in table is
+    sure to be small; one that is given joins as Spark sees fit, a code once.
     """
     if coordinates is None:
-        coordinates = state_coordinates(counts.sparkSession)
+        places = F.broadcast(state_coordinates(counts.sparkSession))
+    else:
+        places = cleanse(coordinates, "code")
     located = counts.withColumn("state", F.trim("state")).join(
-        F.broadcast(coordinates), F.col("state") == F.col("code")
+        places, F.col("state") == F.col("code")
     )
     # At most one row per spelling of a state reaches this window.
     return located.select(

@@ -234,16 +234,21 @@ def category_trend(star: Star, min_points: int = 3) -> DataFrame:
 
 
 def movers(trend: DataFrame, k: int = 3) -> DataFrame:
-    """Both ends of the category trend; the falling side runs from its steepest fall."""
-    def side(name: str, first: Column, tie: Column) -> DataFrame:
-        ends = trend.orderBy(first, tie).limit(k)
-        # At most k rows reach this window.
-        rank = F.row_number().over(Window.orderBy(first, tie))
-        return ends.select(F.lit(name).alias("side"), rank.alias("rank"), "kategori", "persen")
-
-    rising = side("naik", descending("persen"), ascending("kategori"))
-    falling = side("turun", ascending("persen"), descending("kategori"))
-    return rising.unionByName(falling)
+    """Both ends of the category trend; the falling side runs from its steepest fall.
+
+    Each category stands on both sides, so the trend is made once. Spark cuts a side
+    to its first k before the shuffle.
+    """
+    rising = F.col("side") == "naik"
+    both = trend.withColumn("side", F.explode(F.array(F.lit("naik"), F.lit("turun"))))
+    order = Window.partitionBy("side").orderBy(
+        F.when(rising, F.col("persen")).desc_nulls_first(),
+        F.when(~rising, F.col("persen")).asc_nulls_last(),
+        F.when(rising, F.col("kategori")).asc_nulls_last(),
+        F.when(~rising, F.col("kategori")).desc_nulls_first(),
+    )
+    ranks = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranks.select("side", "rank", "kategori", "persen").orderBy("side", "rank")
 
 
 def category_movers(star: Star, k: int = 3) -> DataFrame:

@@ -54,6 +54,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def laid_out_by_year(fact: DataFrame) -> DataFrame:
+    """Rows of a fact by year, and by date within it.
+
+    Rebalancing splits a year that holds much of the data and keeps the files of the
+    others from becoming small.
+    """
+    return fact.hint("rebalance", "tahun").sortWithinPartitions("tahun", "waktu_id")
+
+
 def write_and_read(
     df: DataFrame, path: str, partition_by: str | None = None
 ) -> DataFrame:

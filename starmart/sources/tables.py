@@ -16,6 +16,7 @@ from starmart.model import (
     STAR_SCHEMAS,
     Star,
 )
+from starmart.session import laid_out_by_year
 
 
 def read_operational(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -62,11 +63,14 @@ def star_from_catalog(spark: SparkSession, prefix: str = "") -> Star:
 
 
 def write_star(star: Star, folder: str) -> None:
-    """Write the ten tables; facts that carry ``tahun`` are partitioned by it."""
+    """Write the ten tables; facts that carry ``tahun`` are laid out by it."""
     for name in STAR_SCHEMAS:
         df = star[name]
+        by_year = name in FACT_KEYS and "tahun" in df.columns
+        if by_year:
+            df = laid_out_by_year(df)
         writer = df.write.mode("overwrite")
-        if name in FACT_KEYS and "tahun" in df.columns:
+        if by_year:
             writer = writer.partitionBy("tahun")
         writer.parquet(f"{folder}/{name}")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from starmart.model import DIMENSION_KEYS, FACT_KEYS, STAR_SCHEMAS, Star
 from starmart.plans import build
-from starmart.session import shared_folder, write_and_read
+from starmart.session import laid_out_by_year, shared_folder, write_and_read
 
 
 class Warehouse(Mapping[str, DataFrame]):
@@ -72,9 +72,7 @@ class Warehouse(Mapping[str, DataFrame]):
             df = self.frame(name)
             by_year = "tahun" if name in FACT_KEYS or name == "keyed_lines" else None
             if by_year:
-                # Rebalancing splits a year that holds much of the data and
-                # keeps the files of the others from becoming small.
-                df = df.hint("rebalance", "tahun").sortWithinPartitions("tahun", "waktu_id")
+                df = laid_out_by_year(df)
             if name == "keyed_lines" or FACT_KEYS.get(name) == "id":
                 df = df.withColumn("id", F.monotonically_increasing_id())
             path = f"{self._folder}/{name}-{uuid.uuid4().hex}"

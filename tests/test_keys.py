@@ -36,7 +36,9 @@ def test_key_checks(spark):
         fakta_penjualan=[
             (1, 1, 1, 1, 1, money(1)), (1, 9, 1, None, 1, money(1)), (1, 9, 8, 1, 1, money(1)),
         ],
-        fakta_pembayaran=[(5, 1, 1, 1, money(1)), (5, 1, 1, 7, money(1))],
+        fakta_pembayaran=[
+            (5, 1, 1, 1, money(1)), (5, 1, 1, 7, money(1)), (None, 1, 1, 1, money(1)),
+        ],
     )
     orphans = {(t, c): n for t, c, n in values(check_foreign_keys(s))}
     assert len(orphans) == 17
@@ -47,4 +49,5 @@ def test_key_checks(spark):
     }
     repeats = {(t, c): n for t, c, n in values(check_unique_keys(s))}
     assert len(repeats) == 11
-    assert {k: n for k, n in repeats.items() if n} == {("fakta_pembayaran", "pembayaran_key"): 1}
+    # One key twice and one missing.
+    assert {k: n for k, n in repeats.items() if n} == {("fakta_pembayaran", "pembayaran_key"): 2}

@@ -44,6 +44,12 @@ def test_year_filter_selects_partitions(spark):
     assert re.search(r"PartitionFilters: \[isnotnull\(tahun#\d+\), \(tahun#\d+ = 1997\)\]", plan)
 
 
+@pytest.mark.parametrize("key, scans", [("category_movers", 1), ("recommendations", 2)])
+def test_movers_read_the_sales_once(spark, key, scans):
+    plan = plan_of(QUERIES[key](spark, FOLDER))
+    assert 1 <= len(re.findall(r"ReadSchema: struct<[^>]*total_harga", plan)) <= scans
+
+
 def test_only_dimensions_of_known_small_size_are_broadcast(spark, settings):
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
     tables = small_star(spark).tables

@@ -243,7 +243,7 @@ def _unique_keys() -> str:
     ]
     checks = [
         f"""SELECT '{t}' AS "table", '{c}' AS "column", count(*) AS duplicates FROM
-(SELECT {c} FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1) x"""
+(SELECT {c} FROM {t} GROUP BY {c} HAVING {"count({0}) > 1" if c == "metode_pembayaran" else "count(*) > 1 OR {0} IS NULL"}) x""".replace("{0}", c)
         for t, c in columns
     ]
     # Row ids are numbered on write and have no counterpart here.
