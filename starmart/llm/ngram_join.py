@@ -10,9 +10,11 @@ distinct n-grams. The steps:
    both. A key is the band, two thirds of a part and the hash of what they hold. Sharing a passage is not
    enough to share a key, sharing nearly all n-grams is.
 3. Classes that meet under a key, or are so connected, form a cluster. A key gives one link to its
-   lowest class per class, first in each task and then over all, never all pairs.
-4. Clusters are cut into tiles of one size band. Each pair of tiles whose sizes allow
-   a link is one unit of work: bit counts of hashed bitmaps bound the overlap from above,
+   lowest class per class, first in each task and then over all, never all pairs. Each size
+   band has clusters of its own, for links whose smaller set is of the band, so
+   chance meetings do not chain from band to band.
+4. Clusters are cut into tiles of one size band. Each pair of tiles that may hold
+   a link of the cluster's band is one unit of work: bit counts of hashed bitmaps bound the overlap from above,
    pairs above the bound are intersected as sorted arrays. Pairs already connected are passed by.
 5. Components of the links, over classes.
 
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starmart.llm.components import components
@@ -64,13 +66,18 @@ def parts_of(k: int) -> int:
     return k // 2 + 2 + k // 20
 
 
-def keys_of(grams: np.ndarray, percent: int, low: np.ndarray) -> np.ndarray:
-    """Keys of one set, given as sorted distinct hashes."""
+def keys_of(
+    grams: np.ndarray, percent: int, low: np.ndarray
+) -> list[tuple[int, np.ndarray]]:
+    """Keys of one set, given as sorted distinct hashes, by the band of the smaller set.
+
+    Linked sets share a key of that band.
+    """
     own = int(np.searchsorted(low, len(grams), "right")) - 1
     sums = np.zeros(len(grams) + 1, _U)
     np.cumsum(mix(grams), out=sums[1:])
     out = []
-    for band in {own, max(own - 1, 0)}:
+    for band in sorted({own, max(own - 1, 0)}):
         k = differences(percent, low, band)
         if k == 0:
             continue
@@ -89,8 +96,17 @@ def keys_of(grams: np.ndarray, percent: int, low: np.ndarray) -> np.ndarray:
             # One of these parts differs in one n-gram at most, so a key that is equal
             # and not empty exists.
             keys = keys[some]
-        out.append(keys.ravel())
-    return np.concatenate(out) if out else np.zeros(0, _U)
+        out.append((band, keys.ravel()))
+    return out
+
+
+def node_of(a: int, band: int) -> int:
+    """The node that stands for a class among the clusters of a band; ``_node`` is its like in Spark."""
+    return a ^ (band << 40)
+
+
+def _node(band: Column) -> Column:
+    return F.col("a").bitwiseXOR(F.shiftleft(band.cast("long"), 40))
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -163,10 +179,11 @@ def _send(n: int, percent: int, buckets: int):
             for grams in _sets(batch, n):
                 if not len(grams):
                     continue
-                found = keys_of(grams, percent, low)
-                keys.append(found)
-                owners.append(np.full(len(found), _digest(grams)[0], np.int64))
-                held += len(found)
+                a, _ = _digest(grams)
+                for band, found in keys_of(grams, percent, low):
+                    keys.append(found)
+                    owners.append(np.full(len(found), node_of(a, band), np.int64))
+                    held += len(found)
                 if held >= GATHER:
                     yield from flush(keys, owners)
                     keys, owners, held = [], [], 0
@@ -277,7 +294,11 @@ def _compare(n: int, percent: int):
 
 
 def _units(members: DataFrame) -> DataFrame:
-    """``members(root, rep, n, a, b, band)`` with the units that each is compared in."""
+    """``members(root, rep, n, a, b, band, low)`` with the units that each is compared in.
+
+    ``low`` is the band of the cluster, in which the smaller set of a link lies; members
+    are of this band or the next.
+    """
     tiles = members.groupBy("root", "band").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
     tile_count = F.ceil(F.greatest(F.col("rows") / TILE_ROWS, F.col("grams") / TILE_GRAMS)).cast("int")
     plan = keep(
@@ -290,26 +311,26 @@ def _units(members: DataFrame) -> DataFrame:
     mine = members.join(plan, "root").withColumn(
         "slot", F.pmod(F.xxhash64("a", "b"), F.expr("plan[band]")).cast("int")
     )
-    # Partners: the own tile, later tiles of the own band, all tiles of the next band,
-    # and as the other side of what the earlier ones begin.
+    # Of the lower band: the own tile, the others of the band, those of the next band.
+    # Of the next band, as the other side: all tiles of the lower band.
     pairs = F.expr(
         """
-        flatten(array(
+        if(band = low, flatten(array(
           array(struct(0 as side, false as two, format_string('%d.%d', band, slot) as x, '' as y)),
           transform(filter(sequence(0, plan[band] - 1), s -> s <> slot),
             s -> struct(int(s < slot) as side, true as two,
               format_string('%d.%d', band, least(s, slot)) as x, format_string('%d.%d', band, greatest(s, slot)) as y)),
           if(plan[band + 1] is null, array(), transform(sequence(0, plan[band + 1] - 1),
-            s -> struct(0 as side, true as two, format_string('%d.%d', band, slot) as x, format_string('%d.%d', band + 1, s) as y))),
-          if(plan[band - 1] is null, array(), transform(sequence(0, plan[band - 1] - 1),
-            s -> struct(1 as side, true as two, format_string('%d.%d', band - 1, s) as x, format_string('%d.%d', band, slot) as y)))
-        ))
+            s -> struct(0 as side, true as two, format_string('%d.%d', band, slot) as x, format_string('%d.%d', band + 1, s) as y)))
+        )),
+        if(plan[low] is null, array(), transform(sequence(0, plan[low] - 1),
+          s -> struct(1 as side, true as two, format_string('%d.%d', low, s) as x, format_string('%d.%d', band, slot) as y))))
         """
     )
     whole = F.expr("array(struct(0 as side, false as two, '' as x, '' as y))")
     return (
         mine.withColumn("u", F.explode(F.when(F.col("many"), pairs).otherwise(whole)))
-        .select("rep", "a", "b", F.concat_ws("/", F.col("root").cast("string"), "u.x", "u.y").alias("unit"), "u.side", "u.two")
+        .select("rep", "a", "b", F.concat_ws("/", F.col("root").cast("string"), F.col("low").cast("string"), "u.x", "u.y").alias("unit"), "u.side", "u.two")
     )
 
 
@@ -343,8 +364,11 @@ def ngram_classes(
     )
     clusters = components(near)
 
-    members = classes.filter("rep is not null").join(clusters, classes["a"] == clusters["node"])
-    members = keep(members.select("root", "rep", "n", "a", "b", "band"), "members")
+    nodes = classes.filter("rep is not null").select(
+        "*", F.explode(F.array_distinct(F.array("band", F.greatest(F.col("band") - 1, F.lit(0))))).alias("low")
+    )
+    members = nodes.join(clusters, _node(F.col("low")) == clusters["node"])
+    members = keep(members.select("root", "rep", "n", "a", "b", "band", "low"), "members")
     units = _units(members)
     pairs = (
         units.join(texts.filter("id is not null"), F.col("rep") == F.col("id"))

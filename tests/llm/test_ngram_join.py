@@ -71,6 +71,17 @@ def test_cut_clusters_give_the_same(spark, monkeypatch):
         assert run(spark, rows, words=4, percent=85) == brute(rows, 4, 85)
 
 
+def test_cut_clusters_of_several_bands_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(300)}" for _ in range(140)]
+    texts = [" ".join(base[: 140 - 3 * i] + [f"x{i}"] * (i % 2)) for i in range(30)]
+    rows = list(enumerate(texts))
+    with monkeypatch.context() as m:
+        m.setattr(ngram_join, "TILE_ROWS", 2)
+        got = run(spark, rows, words=4, percent=85)
+    assert got == brute(rows, 4, 85)
+
+
 def test_awkward_rows(spark):
     same = "One two\tTHREE four\nfive six"
     rows = [(5, None), (6, ""), (7, " \n\x0b"), (8, "one"), (9, "ONE"), (9, "ONE"), (3, same), (2, same.lower()),
@@ -105,4 +116,6 @@ def test_keys_meet_for_every_linked_pair():
         shared = np.intersect1d(a, b).size
         assert linked == (100 * shared >= 85 * (len(a) + len(b) - shared))
         if linked and not np.array_equal(a, b):
-            assert np.intersect1d(ngram_join.keys_of(a, 85, low), ngram_join.keys_of(b, 85, low)).size
+            band = int(np.searchsorted(low, min(len(a), len(b)), "right")) - 1
+            keys = [dict(ngram_join.keys_of(x, 85, low))[band] for x in (a, b)]
+            assert np.intersect1d(*keys).size
