@@ -5,12 +5,15 @@ Only DataFrame expressions are used.
 1. The lines of a message are read with their quote level, the number of ``>`` before them
    (blanks between allowed). Consecutive lines of one level form a passage; level 0 is the
    message's own text.
-2. Passages are normalised (case, punctuation and white space do not count) and hashed.
-   An own passage is also hashed line by line, as replies quote single lines.
-3. A quoted passage is joined, by conversation and hash, to the earliest message that has it
-   as its own text. Originals are reduced to one row per key before, so the join gives
-   a row per quoted passage at most.
-4. A message replies to the latest earlier message that it quotes at level 1 (else at the lowest level that is found); without a
+2. Passages are normalised (case, punctuation and white space do not count) and hashed:
+   whole, by paragraph (they end at blank lines), by pair of adjacent lines and by line, as
+   replies quote parts.
+3. Each of these pieces of a quoted passage is joined, by conversation and hash, to the
+   earliest message that has it as its own text. Originals are reduced to one row per key
+   before, so the join gives a row per piece at most. Where the pieces of a passage name
+   several messages, its original is the one that holds most of its distinct lines, and of
+   equals the latest.
+4. A message replies to the latest of the originals that it quotes at level 1 (else at the lowest level that is found); without a
    quote that is found it replies to the turn before. The first message of each chain of replies names
    its thread; threads are found by doubling the reach of each message, one join a round.
 5. What comes out: each message's own text without quotes, its thread, its depth in it and the turn that it
@@ -39,35 +42,61 @@ def normalised(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """Lines with their quote level and what follows the marks."""
+    """Lines with their quote level, what follows the marks, and that normalised."""
     marks = r"^(?:[ \t]*>)+"
-    return F.transform(
+    read = F.transform(
         F.split(text, "\r\n|\r|\n"),
         lambda line: F.struct(
             F.regexp_count(F.regexp_extract(line, f"({marks})", 1), F.lit(">")).alias("level"),
             F.regexp_replace(line, f"{marks} ?", "").alias("line"),
         ),
     )
+    return F.transform(read, lambda x: F.struct(x["level"].alias("level"), x["line"].alias("line"), normalised(x["line"]).alias("norm")))
 
 
 def _passages(lines: Column) -> Column:
     """Consecutive lines of one level together."""
-    empty = F.array().cast("array<struct<level:int,line:string>>")
+    empty = F.array().cast("array<struct<level:int,line:string,norm:string>>")
 
     def add(done: Column, x: Column) -> Column:
         last = F.element_at(done, -1)
         same = (F.size(done) > 0) & (F.when(F.size(done) > 0, last["level"]) == x["level"])
+        longer = F.struct(
+            x["level"].alias("level"),
+            F.concat_ws("\n", last["line"], x["line"]).alias("line"),
+            F.concat_ws("\n", last["norm"], x["norm"]).alias("norm"),
+        )
         return F.when(
-            F.coalesce(same, F.lit(False)),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(x["level"].alias("level"), F.concat_ws("\n", last["line"], x["line"]).alias("line"))),
-            ),
-        ).otherwise(F.concat(done, F.array(F.struct(x["level"].alias("level"), x["line"].alias("line")))))
+            F.coalesce(same, F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
+        ).otherwise(F.concat(done, F.array(x)))
 
     return F.aggregate(lines, empty, add)
 
 
+def _code(norm: Column) -> Column:
+    """Hash of normalised lines, wherever they are broken."""
+    return F.xxhash64(F.trim(F.regexp_replace(norm, "\n+", " ")))
+
+
+def _split(norm: Column, breaks: str) -> Column:
+    return F.filter(F.split(norm, breaks), lambda x: F.trim(F.regexp_replace(x, "\n+", " ")) != "")
+
+
+def _pairs(lines: Column) -> Column:
+    """Each of ``lines`` with the next."""
+    n = F.greatest(F.size(lines) - 1, F.lit(0))
+    return F.zip_with(F.slice(lines, 1, n), F.slice(lines, 2, n), lambda a, b: F.concat_ws("\n", a, b))
+
+
+def _pieces(norm: Column) -> Column:
+    """Whole, paragraphs, pairs and lines of a passage: hash, and hashes of the lines in it."""
+    lines = _split(norm, "\n+")
+    return F.transform(
+        F.array_distinct(F.concat(F.array(norm), _split(norm, "\n\n+"), _pairs(lines), lines)),
+        lambda x: F.struct(_code(x).alias("hash"), F.array_distinct(F.transform(_split(x, "\n+"), _code)).alias("lines")),
+    )
+
+
 def read_messages(messages: DataFrame) -> DataFrame:
     """Messages with ``own`` text and the hashes of what is quoted and said.
 
@@ -78,50 +107,72 @@ def read_messages(messages: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", text.alias("text")
     ).withColumn("lines", _lines(F.col("text")))
     marked = F.exists("lines", lambda x: x["level"] > 0)
-    whole = F.array(F.struct(F.lit(0).alias("level"), F.col("text").alias("line")))
+    norms = F.array_join(F.transform("lines", lambda x: x["norm"]), "\n")
+    whole = F.array(F.struct(F.lit(0).alias("level"), F.col("text").alias("line"), norms.alias("norm")))
     parts = base.withColumn("passages", F.when(marked, _passages(F.col("lines"))).otherwise(whole))
-    code = lambda line: F.xxhash64(normalised(line))
-    some = lambda line: normalised(line) != ""
-    quoted = F.filter("passages", lambda x: (x["level"] > 0) & some(x["line"]))
-    said = F.filter("passages", lambda x: (x["level"] == 0) & some(x["line"]))
-    own_lines = F.filter("lines", lambda x: (x["level"] == 0) & some(x["line"]))
-    echo = F.filter(own_lines, lambda x: F.size(F.split(normalised(x["line"]), " ")) >= ECHO_WORDS)
+    some = lambda x: F.regexp_replace(x["norm"], "\n+", "") != ""
+    quoted = F.filter("passages", lambda x: (x["level"] > 0) & some(x))
+    said = F.filter("passages", lambda x: (x["level"] == 0) & some(x))
+    own_lines = F.transform(F.filter("lines", lambda x: (x["level"] == 0) & (x["norm"] != "")), lambda x: x["norm"])
+    echo = F.filter(own_lines, lambda x: F.size(F.split(x, " ")) >= ECHO_WORDS)
+    ask = lambda level, norm: F.struct(level.alias("level"), _code(norm).alias("whole"), _pieces(norm).alias("pieces"))
     return parts.select(
         "conv_id", "turn", "role",
         F.regexp_replace(
             F.array_join(F.transform(F.filter("passages", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"),
             r"^\s+|\s+$", "",
         ).alias("own"),
-        F.transform(quoted, lambda x: F.struct(x["level"].alias("level"), code(x["line"]).alias("hash"))).alias("quotes"),
-        F.transform(echo, lambda x: F.struct(F.lit(0).alias("level"), code(x["line"]).alias("hash"))).alias("echoes"),
+        F.transform(quoted, lambda x: ask(x["level"], x["norm"])).alias("quotes"),
+        F.transform(echo, lambda x: ask(F.lit(0), x)).alias("echoes"),
         F.array_distinct(
-            F.concat(F.transform(said, lambda x: code(x["line"])), F.transform(own_lines, lambda x: code(x["line"])))
+            F.concat(
+                F.transform(said, lambda x: _code(x["norm"])),
+                F.transform(F.flatten(F.transform(said, lambda x: _split(x["norm"], "\n\n+"))), _code),
+                F.transform(_pairs(own_lines), _code),
+                F.transform(own_lines, lambda x: F.xxhash64(x)),
+            )
         ).alias("said"),
     )
 
 
 def link_quotes(read: DataFrame) -> DataFrame:
-    """``(conv_id, turn, level, origin)``: quoted passages whose original is known.
+    """``(conv_id, turn, level, origin, n)``: how many quoted passages have this original.
 
-    Level 0 stands for repeated lines. Equal rows are merged.
+    Level 0 stands for repeated lines. Equal passages of a level are merged.
     """
     placed = read.filter("conv_id is not null and turn is not null")
-    origins = (
-        placed.select("conv_id", "turn", F.explode("said").alias("hash"))
-        .groupBy("conv_id", "hash")
-        .agg(F.min("turn").alias("origin"))
-    )
-    asked = placed.select("conv_id", "turn", F.explode(F.concat("quotes", "echoes")).alias("q")).select(
-        "conv_id", "turn", "q.level", "q.hash"
-    )
+    said = placed.select("conv_id", "turn", F.explode("said").alias("hash"))
+    origins = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+    passage = ["conv_id", "turn", "level", "whole"]
     # Both sides are written, so that the join can split a conversation that is too large.
-    return (
-        keep(asked.distinct(), "quoted")
-        .join(keep(origins, "origins"), ["conv_id", "hash"])
+    asked = keep(
+        placed.select("conv_id", "turn", F.explode(F.concat("quotes", "echoes")).alias("q"))
+        .select("conv_id", "turn", "q.level", "q.whole", F.explode("q.pieces").alias("piece"))
+        .select(*passage, "piece.hash", "piece.lines")
+        .distinct(),
+        "quoted",
+    )
+    found = keep(
+        asked.join(keep(origins, "origins"), ["conv_id", "hash"])
         .filter("origin < turn")
-        .groupBy("conv_id", "turn", "level")
-        .agg(F.max("origin").alias("origin"), F.count("*").alias("n"))
+        .groupBy(*passage)
+        .agg(F.collect_set("origin").alias("origins")),
+        "originals",
+    )
+    # Only where several messages come into question are their lines looked up.
+    several = found.filter(F.size("origins") > 1).select(*passage, F.explode("origins").alias("origin"))
+    held = (
+        keep(several.join(asked, passage), "rivals")
+        .join(said.withColumnRenamed("turn", "origin"), ["conv_id", "origin", "hash"])
+        .select(*passage, "origin", F.explode("lines").alias("line"))
+        .distinct()
+        .groupBy(*passage, "origin")
+        .agg(F.count("*").alias("lines"))
+        .groupBy(*passage)
+        .agg(F.max_by("origin", F.struct("lines", "origin")).alias("origin"))
     )
+    single = found.filter(F.size("origins") == 1).select(*passage, F.col("origins")[0].alias("origin"))
+    return single.unionByName(held).groupBy("conv_id", "turn", "level", "origin").agg(F.count("*").alias("n"))
 
 
 def threads(places: DataFrame) -> DataFrame:

@@ -261,3 +261,22 @@ def test_quotes_make_threads(spark):
     assert at(None, 0) == (None, None, None, "lost") and at(3, None)[1] is None
     assert at(5, 3)[:3] == (0, 0, 1) and "three four" in at(5, 3)[3]
     assert reply_order(df.limit(0)).count() == 0
+
+
+def test_trimmed_quotes_find_their_original(spark):
+    rows = [
+        (1, 0, "Hello all\nalpha one\nBest wishes"),
+        (1, 1, "Hello all\nbeta two\nbeta three\nBest wishes\n\nsecond part\nof two lines\n\nlast part"),
+        (1, 2, "nothing here"),
+        (1, 3, "> beta two\n> beta three\nlines of it"),
+        (1, 4, "> second part of\n> two lines\na paragraph, broken elsewhere"),
+        (1, 5, "> Hello all\n> beta two\n> beta three\n> Best wishes\nmore of it than of the first"),
+        (1, 6, "> Best wishes\n\n> second part\nbroken by a blank line"),
+        (1, 7, "> beta two\n> added words\none line is known"),
+        (1, 8, "> unknown\n> both\nnone"),
+    ]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.turn: r for r in reply_order(df).collect()}
+    assert [got[t].reply_to for t in range(9)] == [None, 0, 1, 1, 1, 1, 1, 1, 7]
+    assert [got[t].n_quotes for t in range(3, 9)] == [1, 1, 1, 2, 1, 1]
+    assert [got[t].n_linked for t in range(3, 9)] == [1, 1, 1, 2, 1, 0]
