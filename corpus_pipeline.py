@@ -1,8 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each on all that the one before kept.
 
-Decisions are made per ``doc_id`` and applied to all its rows; rows with a null id pass the
-filtering stages. Lists of ids are written before they meet the documents, so that Spark
-knows their size when it chooses how to join.
+Decisions are made per row and applied by a row number that each filtering stage writes, so
+rows with a null id and rows that share an id are each judged by their own text. Lists of
+numbers are written before they meet the documents, so that Spark knows their size when it
+chooses how to join.
 """
 
 from __future__ import annotations
@@ -25,42 +26,62 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
 END_ID, CAPACITY = 0, 2048
+#: The number of a row within a stage.
+ROW = "_row"
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    return docs.join(keep(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written so that it stays the same."""
+    return keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The numbered rows whose number is not in ``dropped``, without it."""
+    return rows.join(keep(dropped.select(ROW).distinct(), "dropped"), ROW, "left_anti").drop(ROW)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. An id goes if all its rows are rejected."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.groupBy("doc_id").agg(F.max("predicted").alias("best")).filter("best = 0"))
+    """Rows that the classifier accepts."""
+    rows = _numbered(docs)
+    scored = score_quality(rows, table(spark, sf_dir, "labels"), row_column=ROW)
+    return _without(rows, scored.filter("predicted = 0"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies.
+    """The row with the smallest id of each group of near copies; rows without an id come last.
 
-    An id on several rows stays if one of its rows names its group; of these rows, equal
-    texts are left once.
+    Texts without words have no near copies; of these, equal rows of an id are left once.
     """
-    named = keep(ngram_classes(docs, words=WORDS, percent=PERCENT), "named")
-    by_id = named.groupBy("doc_id").agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")
+    rows = _numbered(docs)
+    classes = ngram_classes(rows, id_column=ROW, words=WORDS, percent=PERCENT)
+    ids = rows.select(ROW, "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    wordless = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    named = keep(
+        classes.join(ids, ROW).select(
+            ROW, "doc_id",
+            F.when(~wordless, F.col("component_id")).alias("component"),
+            F.when(wordless, F.col("doc_id")).alias("own"),
+            F.when(wordless, F.col("digest")).alias("digest"),
+        ),
+        "named",
+    )
+    stays = named.groupBy("component", "own", "digest").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW))).getField(ROW).alias(ROW)
     )
-    by_id = keep(by_id.filter("doc_id is not null and (rows > 1 or not stays)"), "by-id")
-    single = _without(docs, by_id)
-    several = docs.join(by_id.filter("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(several.select(docs.columns))
+    return _without(rows, named.join(stays, ROW, "left_anti"))
 
 
 def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no test item."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Rows that contain no test item."""
+    rows = _numbered(docs)
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), id_column=ROW)
+    return _without(rows, found.select(F.col("doc_id").alias(ROW)))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark and ``n_chars`` counted anew."""
-    clean = redact(docs, scan_secrets(docs))
+    rows = _numbered(docs)
+    clean = redact(rows, scan_secrets(rows, id_column=ROW), id_column=ROW).drop(ROW)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 

@@ -161,7 +161,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         table = statistics(words(batch.column("text")))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(list(table), pa.list_(pa.float64()))], names=["id", "x"]
+            [batch.column("id"), batch.column("row"), pa.array(list(table), pa.list_(pa.float64()))], names=["id", "row", "x"]
         )
 
 
@@ -170,7 +170,7 @@ def _score(trees: Trees):
         for batch in batches:
             rows = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(trees.score(rows))], names=["id", "score"]
+                [batch.column("id"), batch.column("row"), pa.array(trees.score(rows))], names=["id", "row", "score"]
             )
 
     return run
@@ -178,12 +178,15 @@ def _score(trees: Trees):
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, accept: float = 0.7, max_labelled: int = MAX_LABELLED,
-    id_column: str = "doc_id", text_column: str = "text",
+    id_column: str = "doc_id", text_column: str = "text", row_column: str | None = None,
 ) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)``; ``labels`` holds ``doc_id`` and ``quality``."""
+    """``(doc_id, held_out, score, predicted)``; ``labels`` holds ``doc_id`` and ``quality``.
+
+    With ``row_column``, a number of each row, that comes out too."""
     prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    described = keep(texts.mapInArrow(_describe, "id long, x array<double>"), "statistics")
+    row = F.col(row_column) if row_column else F.lit(None)
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), row.cast("long").alias("row"), F.col(text_column).alias("text"))
+    described = keep(texts.mapInArrow(_describe, "id long, row long, x array<double>"), "statistics")
     known = (
         labels.filter("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("y"))
     )
@@ -197,10 +200,11 @@ def score_quality(
     )
     rows = np.array([r["x"] for r in sample], float).reshape(-1, len(FEATURES))
     trees = fit(rows, np.array([r["y"] for r in sample], float))
-    scored = described.mapInArrow(_score(trees), "id long, score double")
+    scored = described.mapInArrow(_score(trees), "id long, row long, score double")
     return scored.select(
         F.col("id").alias("doc_id"),
         held_out(F.col("id")).alias("held_out"),
         "score",
         (F.col("score") >= accept).cast("int").alias("predicted"),
+        *([F.col("row").alias(row_column)] if row_column else []),
     )

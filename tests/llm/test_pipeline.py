@@ -33,3 +33,34 @@ def test_stages_take_effect(spark, tmp_path):
     assert clean[2].n_chars == len(clean[2].text) and clean[1].text == rows[1][1]
     assert ids["secret scans"] == ids["benchmark decontamination"]
     assert {r.doc_id for r in seen["best-fit packing"]} == set(ids["secret scans"])
+
+
+def test_each_row_is_judged_by_its_own_text(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    junk = lambda: " | ".join(text(40).split()) + " |"
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    item = text(30)
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save([(i, int(i < 60), 0) for i in range(90)], "doc_id long, quality int, toxic int", "labels")
+    save([(1, item)], "item_id long, text string", "benchmark")
+
+    def run(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        out = stage(spark, docs.repartition(3), str(tmp_path))
+        assert out.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    good = [(i, text(40) + ".") for i in range(60)]
+    bad = [(i, junk()) for i in range(60, 90)]
+    kept = run(corpus_pipeline.good_quality, good + bad + [(None, junk()), (500, junk()), (500, good[1][1]), (None, good[2][1])])
+    assert kept == sorted(good + [(500, good[1][1]), (None, good[2][1])], key=str)
+    a, b, c = good[3][1], good[4][1], good[5][1]
+    kept = run(corpus_pipeline.one_of_each_group, [(3, a), (None, a), (None, a.upper()), (7, a), (7, b), (9, c), (9, c), (None, b.upper()), (8, ""), (8, ""), (None, "")])
+    assert kept == sorted([(3, a), (7, b), (9, c), (8, ""), (None, "")], key=str)
+    dirty = text(9) + " " + item
+    kept = run(corpus_pipeline.free_of_benchmarks, [(None, dirty), (1, dirty), (1, a), (None, b)])
+    assert kept == sorted([(1, a), (None, b)], key=str)
+    keys = [key() for _ in range(20)]
+    found = run(corpus_pipeline.without_secrets, [(None, f'some token = "{k}" and more') for k in keys] + [(1, "card 1234567890123456 here")])
+    assert len(found) == 21 and not any(k in t for _, t in found for k in keys)
