@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starmart.llm.divergence import source_divergence
+from starmart.llm.filter_audit import audit_filters
 from starmart.llm.language_model import score_texts
 from starmart.llm.ngram_join import ngram_classes
 from starmart.llm.packing import pack
 from starmart.llm.quality import score_quality
+from starmart.llm.quality_rules import quality_rules
 from starmart.llm.quotes import reply_order
 from starmart.llm.secrets import scan_secrets
 from starmart.llm.store import new_folder, table
@@ -90,6 +93,18 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_classes(table(spark, folder, "documents"), words=4, percent=85)
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(table(spark, folder, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_token_files": op2_token_files,
@@ -101,6 +116,9 @@ QUERIES: dict[str, Query] = {
     "op8_deleted_interpolation": op8_deleted_interpolation,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -120,4 +138,91 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
     """,
+    "op12_source_divergence": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+          FROM documents
+        ),
+        w AS (
+          SELECT lang, source, row, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM d
+        ),
+        lang_terms AS (
+          SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10
+        ),
+        langs AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(n) AS n FROM lang_terms GROUP BY lang),
+        counts AS (
+          SELECT w.lang, w.source, w.term, CAST(count(*) AS HUGEINT) AS n FROM w JOIN lang_terms USING (lang, term)
+          GROUP BY w.lang, w.source, w.term
+        ),
+        groups AS (
+          SELECT g.lang, g.source, coalesce(s.n, 0) + 2 * coalesce(l.v, 0) AS whole
+          FROM (SELECT DISTINCT lang, source FROM d) g
+          LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY lang, source) s USING (lang, source)
+          LEFT JOIN langs l USING (lang)
+        ),
+        p AS (
+          SELECT g.lang, g.source, t.term, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // g.whole AS p
+          FROM groups g JOIN lang_terms t USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term
+        ),
+        pair_value AS (
+          SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+        ),
+        pairs AS (
+          SELECT a.lang, a.source, b.source AS item, coalesce(v.value, 0) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair_value v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+        ),
+        q AS (SELECT t.lang, t.term, 1 + (1000000000 * (t.n + 2)) // (l.n + 2 * l.v) AS q FROM lang_terms t JOIN langs l USING (lang)),
+        terms AS (
+          SELECT c.lang, c.source, c.term AS item, (p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS value
+          FROM counts c JOIN p USING (lang, source, term) JOIN q USING (lang, term) WHERE p.p > q.q
+        ),
+        both_parts AS (SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' AS part FROM terms),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS n FROM both_parts
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(n AS INTEGER) AS rank
+        FROM ranked WHERE part = 'pair' OR n <= 10
+    """,
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+        l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+        m AS (
+          SELECT w.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+            CAST(len(words) < 100 AS INT)
+            + 2 * CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INT)
+            + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) AS INT)
+            + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+            + 16 * CAST(coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) AS INT) AS mask
+          FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+        ),
+        h AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (
+          SELECT a.x || b.x || c.x || e.x || g.x AS filter_order, [a.bit, b.bit, c.bit, e.bit, g.bit] AS bits
+          FROM f a, f b, f c, f e, f g WHERE a.bit | b.bit | c.bit | e.bit | g.bit = 31
+        ),
+        s AS (
+          SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before
+          FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+        ),
+        r AS (
+          SELECT h.part, s.filter_order, s.step, s.bit,
+            sum(CASE WHEN h.mask & (s.before | s.bit) = 0 THEN h.n ELSE 0 END) AS kept,
+            sum(CASE WHEN h.mask & s.bit > 0 AND h.mask & s.before = 0 THEN h.n ELSE 0 END) AS removed,
+            sum(CASE WHEN h.mask & s.bit > 0 AND h.mask & s.before > 0 THEN h.n ELSE 0 END) AS redundant,
+            sum(CASE WHEN h.mask = s.bit THEN h.n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN h.mask & s.bit > 0 AND h.mask & s.before = 0 THEN h.good ELSE 0 END) AS good_lost,
+            sum(CASE WHEN h.mask & s.bit > 0 AND h.mask & s.before = 0 THEN h.toxic ELSE 0 END) AS toxic_lost
+          FROM h, s GROUP BY h.part, s.filter_order, s.step, s.bit
+        )
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+          CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+          CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM r
+    """,
 }
