@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -113,6 +113,9 @@ FOREIGN_KEYS: dict[str, tuple[str, ...]] = {
     "fakta_seller": ("dim_waktu", "dim_seller", "dim_produk"),
 }
 
+#: Columns that facts are partitioned by; they follow from the date of the order.
+LAYOUT = {"tahun": _INT, "bulan": _INT}
+
 # A dimension is broadcast only while its known row count is within this bound:
 # a key and one or two short labels per row, about 100 MB at most.
 BROADCAST_ROWS = 1_000_000
@@ -123,13 +126,14 @@ class Star:
     """The ten star tables.
 
     ``row_counts`` holds known dimension sizes; an unknown size counts as large.
-    ``enforced`` states that every fact key is non-NULL and has its dimension
-    row, which lets an operator leave out a join whose columns it never uses.
+    ``enforced`` states which fact keys are non-NULL and have their dimension row in
+    all rows: all of them, none, or the dimensions named for each fact. An operator may leave out
+    a join that such a key makes and whose columns it never uses.
     """
 
     tables: Mapping[str, DataFrame]
     row_counts: Mapping[str, int] = field(default_factory=dict)
-    enforced: bool = False
+    enforced: bool | Mapping[str, Collection[str]] = False
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -138,9 +142,16 @@ class Star:
         rows = self.row_counts.get(dimension)
         return rows is not None and rows <= BROADCAST_ROWS
 
-    def fact(self, name: str, year: int | None = None) -> DataFrame:
-        """A fact scan; the year selects partitions where the table has them."""
+    def holds(self, fact: str, dimension: str) -> bool:
+        """Whether every row of the fact is known to have its row of the dimension."""
+        if isinstance(self.enforced, bool):
+            return self.enforced
+        return dimension in self.enforced.get(fact, ())
+
+    def fact(self, name: str, year: int | None = None, month: int | None = None) -> DataFrame:
+        """A fact scan; year and month select partitions where the table has them."""
         df = self.tables[name]
-        if year is not None and "tahun" in df.columns:
-            df = df.filter(F.col("tahun") == F.lit(year))
+        for column, value in (("tahun", year), ("bulan", month)):
+            if value is not None and column in df.columns:
+                df = df.filter(F.col(column) == F.lit(value))
         return df

@@ -69,6 +69,7 @@ def aggregate(
     by: dict[str, tuple[str, Column]] | None = None,
     where: dict[str, Column] | None = None,
     year: int | None = None,
+    month: int | None = None,
 ) -> DataFrame:
     """Measures of ``fact`` inner-joined with ``dimensions``, grouped by ``by``.
 
@@ -86,13 +87,12 @@ def aggregate(
         d: [expr.alias(name) for name, (table, expr) in by.items() if table == d]
         for d in dimensions
     }
-    if star.enforced:
-        columns = {d: c for d, c in columns.items() if c or d in where}
+    columns = {d: c for d, c in columns.items() if c or d in where or not star.holds(fact, d)}
     large = sorted((d for d in columns if not star.is_small(d)), key=lambda d: d not in where)
     keys = [DIMENSION_KEYS[d] for d in columns]
     inputs = [m.column for m in measures.values() if m.column]
     inputs += [name for name, (table, _) in by.items() if table == fact]
-    rows = star.fact(fact, year).select(*dict.fromkeys(keys + inputs))
+    rows = star.fact(fact, year, month).select(*dict.fromkeys(keys + inputs))
 
     if not large:
         rows = attach_all(rows, star, columns, where)

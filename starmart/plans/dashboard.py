@@ -45,7 +45,7 @@ def _sales(star: Star, f: FilterSpec, measures: dict, by=None, where=None) -> Da
         predicates[dimension] = (
             predicates[dimension] & predicate if dimension in predicates else predicate
         )
-    return aggregate(star, "fakta_penjualan", SALES, measures, by, predicates, f.year)
+    return aggregate(star, "fakta_penjualan", SALES, measures, by, predicates, f.year, f.month)
 
 
 # Filter lists -----------------------------------------------------------------
@@ -150,6 +150,7 @@ def _method_counts(star: Star, f: FilterSpec) -> DataFrame:
         {"metode_pembayaran": ("dim_metode_pembayaran", F.col("metode_pembayaran"))},
         f.without("category").by_dimension(),
         f.year,
+        f.month,
     )
 
 
@@ -221,6 +222,7 @@ def _seller_totals(star: Star, f: FilterSpec) -> DataFrame:
         {"label": ("dim_seller", F.col("seller_id"))},
         f.by_dimension(),
         f.year,
+        f.month,
     )
     return sold.withColumn("total_revenue", money(F.col("total_revenue")))
 
@@ -247,6 +249,7 @@ def top10_customers_revenue(star: Star, f: FilterSpec = NO_FILTER, k: int = 10)
         {"pelanggan_key": ("fakta_penjualan", F.col("pelanggan_key"))},
         f.without("state").by_dimension(),
         f.year,
+        f.month,
     )
     where = f.by_dimension().get("dim_pelanggan")
     how = "left" if where is None else "inner"
@@ -336,6 +339,7 @@ def _delivery_sums(star: Star, f: FilterSpec, by=None) -> DataFrame:
         by,
         f.by_dimension(),
         f.year,
+        f.month,
     )
 
 
@@ -366,6 +370,7 @@ def _ratings(star: Star, f: FilterSpec, label) -> DataFrame:
         {"label": ("dim_waktu", label)},
         f.by_dimension(),
         f.year,
+        f.month,
     )
     means = sums.select("label", exact_mean(F.col("score"), F.col("n"), 2).alias("avg_rating"))
     return means.orderBy(ascending("label"))

@@ -68,14 +68,15 @@ def geo_payment_semi(star: Star, f: FilterSpec) -> DataFrame:
     if f.payment is None:
         raise ValueError("a payment method is needed")
     where = f.by_dimension()
-    sales = star.fact("fakta_penjualan", f.year).select("waktu_id", "produk_key", "pelanggan_key")
+    sales = star.fact("fakta_penjualan", f.year, f.month).select("waktu_id", "produk_key", "pelanggan_key")
     needed = {
-        d: [] for d in ("dim_waktu", "dim_produk") if d in where or not star.enforced
+        d: [] for d in ("dim_waktu", "dim_produk")
+        if d in where or not star.holds("fakta_penjualan", d)
     }
     sales = attach_all(sales, star, needed, where)
     method = F.col("metode_pembayaran") == F.lit(f.payment)
     paid = attach(
-        star.fact("fakta_pembayaran", f.year).select("waktu_id", "pelanggan_key", "metode_key"),
+        star.fact("fakta_pembayaran", f.year, f.month).select("waktu_id", "pelanggan_key", "metode_key"),
         star,
         "dim_metode_pembayaran",
         where=method,

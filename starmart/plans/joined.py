@@ -108,7 +108,7 @@ def star_filter_all(star: Star, f: FilterSpec = NO_FILTER) -> DataFrame:
     left = aggregate(
         star, "fakta_penjualan", SALES,
         {"rows": row_count(), "units": total("jumlah"), "revenue": total("total_harga")},
-        where=f.by_dimension(), year=f.year,
+        where=f.by_dimension(), year=f.year, month=f.month,
     )
     return left.select(
         "rows",

@@ -316,7 +316,7 @@ def norm_delivery_by_city(op: Operational) -> DataFrame:
         .join(_payments_per_order(op), "order_id")
         .groupBy("customer_id")
         .agg(
-            or_zero(F.sum(F.col("seconds") * weight)).alias("seconds"),
+            or_zero(F.sum(F.col("seconds").cast("decimal(38,0)") * weight)).alias("seconds"),
             or_zero(F.sum(F.when(F.col("seconds").isNotNull(), weight))).alias("n"),
             F.sum(weight).alias("jumlah_pengiriman"),
         )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -54,27 +55,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
-def laid_out_by_year(fact: DataFrame) -> DataFrame:
-    """Rows of a fact by year, and by date within it.
+def laid_out_by_month(fact: DataFrame) -> DataFrame:
+    """Rows of a fact by year and month, and by date within them.
 
-    Rebalancing splits a year that holds much of the data and keeps the files of the
+    Rebalancing splits a month that holds much of the data and keeps the files of the
     others from becoming small.
     """
-    return fact.hint("rebalance", "tahun").sortWithinPartitions("tahun", "waktu_id")
+    return fact.hint("rebalance", "tahun", "bulan").sortWithinPartitions("tahun", "bulan", "waktu_id")
 
 
 def write_and_read(
-    df: DataFrame, path: str, partition_by: str | None = None
+    df: DataFrame, path: str, partition_by: Sequence[str] = ()
 ) -> DataFrame:
     """Write ``df`` as Parquet and return a scan of it, with its lineage cut."""
     schema = StructType(df.schema.fields)
     writer = df.write.mode("overwrite")
     if partition_by:
-        writer = writer.partitionBy(partition_by)
+        writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the file system that its name belongs to."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     return write_and_read(df, f"{folder}/scratch/{name}-{uuid.uuid4().hex}")

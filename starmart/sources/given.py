@@ -142,6 +142,24 @@ def _order_reviews(orders: DataFrame) -> DataFrame:
     )
 
 
+def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders as a feed of text brings them: some keys missing or no numbers, some dates
+    unreadable, every fiftieth order twice, every hundredth of them with another delivery."""
+    orders = _orders(given_table(spark, folder, "orders"))
+    key, copy = F.col("order_id"), F.col("copy")
+    copies = F.when(key % 50 == 0, 2).otherwise(1)
+    delivered = F.col("order_delivered_customer_date").cast("string")
+    return orders.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(
+        F.when(key % 101 == 0, None).when(key % 103 == 0, F.concat(F.lit("ORD-"), key.cast("string")))
+        .otherwise(key.cast("string")).alias("order_id"),
+        F.col("customer_id").cast("string").alias("customer_id"),
+        F.when(key % 97 == 0, "00/00/0000").otherwise(F.col("order_purchase_timestamp").cast("string"))
+        .alias("order_purchase_timestamp"),
+        F.when((key % 100 == 0) & (copy == 2), "2001-01-01 00:00:00").otherwise(delivered)
+        .alias("order_delivered_customer_date"),
+    )
+
+
 def operational_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     given = {name: given_table(spark, folder, name) for name in _GIVEN}
     return {

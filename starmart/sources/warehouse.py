@@ -3,44 +3,58 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Mapping
+from collections import defaultdict
+from collections.abc import Callable, Collection, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock, RLock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from starmart.model import DIMENSION_KEYS, FACT_KEYS, STAR_SCHEMAS, Star
+from starmart.model import DIMENSION_KEYS, FACT_KEYS, FOREIGN_KEYS, LAYOUT, STAR_SCHEMAS, Star
 from starmart.plans import build
-from starmart.session import laid_out_by_year, shared_folder, write_and_read
+from starmart.session import laid_out_by_month, remove_folder, shared_folder, write_and_read
 
 
 class Warehouse(Mapping[str, DataFrame]):
     """Star tables of one source, each written the first time it is asked for.
 
-    Facts are laid out by year, and by date within a year. Beside the star the
-    folder holds two working tables, the keyed orders and the keyed lines.
+    Facts are laid out by year and month, and by date within them. Beside the star the
+    folder holds two working tables, the keyed orders and the keyed lines. ``known`` holds
+    the key maps of an earlier load, by dimension; keys given then stay the same.
     """
 
-    def __init__(self, spark: SparkSession, source: Mapping[str, DataFrame], folder: str):
+    def __init__(
+        self,
+        spark: SparkSession,
+        source: Mapping[str, DataFrame],
+        folder: str,
+        known: Mapping[str, DataFrame] | None = None,
+    ):
         self._spark = spark
         self.source = source
+        self.known = known or {}
         self._folder = folder
         self._written: dict[str, DataFrame] = {}
         self._published: dict[str, DataFrame] = {}
-        self._star = Star(self, _RowCounts(self), enforced=True)
+        self.paths: dict[str, str] = {}
+        self.null_keys: dict[str, dict[str, int]] = {}
+        self._locks: defaultdict[str, RLock] = defaultdict(RLock)
+        self._locking = Lock()
+        self._star = Star(self, _RowCounts(self), _Enforced(self))
 
     def frame(self, name: str) -> DataFrame:
         """The plan that builds one table from the tables before it."""
-        source, keyed = self.source, self.keyed
+        source, keyed, known = self.source, self.keyed, self.known.get(name)
         plans: dict[str, Callable[[], DataFrame]] = {
-            "dim_waktu": lambda: build.dim_waktu(source["orders"]),
+            "dim_waktu": lambda: build.dim_waktu(source["orders"], known),
             "dim_produk": lambda: build.dim_produk(
-                source["products"], source["category_translation"]
+                source["products"], source["category_translation"], known=known
             ),
-            "dim_pelanggan": lambda: build.dim_pelanggan(source["customers"]),
-            "dim_seller": lambda: build.dim_seller(source["sellers"]),
+            "dim_pelanggan": lambda: build.dim_pelanggan(source["customers"], known),
+            "dim_seller": lambda: build.dim_seller(source["sellers"], known),
             "dim_metode_pembayaran": lambda: build.dim_metode_pembayaran(
-                source["order_payments"]
+                source["order_payments"], known
             ),
             "keyed_orders": lambda: build.keyed_orders(
                 source["orders"], keyed("dim_waktu"), keyed("dim_pelanggan")
@@ -68,16 +82,32 @@ class Warehouse(Mapping[str, DataFrame]):
         if name == "fakta_penjualan":
             # The keyed lines hold the sales fact, so it is not written again.
             name = "keyed_lines"
-        if name not in self._written:
-            df = self.frame(name)
-            by_year = "tahun" if name in FACT_KEYS or name == "keyed_lines" else None
-            if by_year:
-                df = laid_out_by_year(df)
-            if name == "keyed_lines" or FACT_KEYS.get(name) == "id":
+        with self._locking:
+            lock = self._locks[name]
+        with lock:
+            if name not in self._written:
+                self._written[name] = self._write(name)
+            return self._written[name]
+
+    def _write(self, name: str) -> DataFrame:
+        df = self.frame(name)
+        fact = "fakta_penjualan" if name == "keyed_lines" else name
+        path = f"{self._folder}/{name}-{uuid.uuid4().hex}"
+        if fact not in FACT_KEYS:
+            written = write_and_read(df, path)
+        else:
+            df = laid_out_by_month(df)
+            if FACT_KEYS[fact] == "id":
                 df = df.withColumn("id", F.monotonically_increasing_id())
-            path = f"{self._folder}/{name}-{uuid.uuid4().hex}"
-            self._written[name] = write_and_read(df, path, by_year)
-        return self._written[name]
+            # Counted on the way to the files. A task that runs twice may count twice, but none
+            # stays none.
+            missing = Observation(name)
+            keys = {d: DIMENSION_KEYS[d] for d in FOREIGN_KEYS[fact]}
+            counts = [F.count_if(F.col(key).isNull()).alias(d) for d, key in keys.items()]
+            written = write_and_read(df.observe(missing, *counts), path, tuple(LAYOUT))
+            self.null_keys[fact] = {d: int(missing.get[d] or 0) for d in keys}
+        self.paths[name] = path
+        return written
 
     def load(self) -> None:
         """Write all tables, those that do not build on each other at the same time."""
@@ -91,11 +121,19 @@ class Warehouse(Mapping[str, DataFrame]):
             for tables in steps:
                 list(pool.map(self.keyed, tables))
 
+    def close(self) -> None:
+        """Delete the written tables; what is asked for afterwards is built anew."""
+        for path in self.paths.values():
+            remove_folder(self._spark, path)
+        for held in (self._written, self._published, self.paths, self.null_keys):
+            held.clear()
+        self._star = Star(self, _RowCounts(self), _Enforced(self))
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in STAR_SCHEMAS:
             raise KeyError(name)
         if name not in self._published:
-            columns = STAR_SCHEMAS[name].fieldNames() + (["tahun"] if name in FACT_KEYS else [])
+            columns = STAR_SCHEMAS[name].fieldNames() + (list(LAYOUT) if name in FACT_KEYS else [])
             self._published[name] = self.keyed(name).select(*dict.fromkeys(columns))
         return self._published[name]
 
@@ -106,7 +144,7 @@ class Warehouse(Mapping[str, DataFrame]):
         return len(STAR_SCHEMAS)
 
     def star(self) -> Star:
-        """The facts come from inner joins with the dimensions, so keys are enforced."""
+        """The facts take their keys from the dimensions, so a key that is not NULL has its row."""
         return self._star
 
 
@@ -131,6 +169,25 @@ class _RowCounts(Mapping[str, int]):
         return len(DIMENSION_KEYS)
 
 
+class _Enforced(Mapping[str, Collection[str]]):
+    """Dimensions of each fact whose key is NULL in no row, as counted while it was written."""
+
+    def __init__(self, warehouse: Warehouse):
+        self._warehouse = warehouse
+
+    def __getitem__(self, name: str) -> Collection[str]:
+        if name not in FACT_KEYS:
+            raise KeyError(name)
+        self._warehouse.keyed(name)
+        return [d for d, n in self._warehouse.null_keys[name].items() if not n]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(FACT_KEYS)
+
+    def __len__(self) -> int:
+        return len(FACT_KEYS)
+
+
 _open: dict[tuple[str, str], Warehouse] = {}
 
 

@@ -44,6 +44,17 @@ def test_year_filter_selects_partitions(spark):
     assert re.search(r"PartitionFilters: \[isnotnull\(tahun#\d+\), \(tahun#\d+ = 1997\)\]", plan)
 
 
+def test_month_filter_selects_partitions(spark):
+    found = lambda key: re.search(r"PartitionFilters: (\[[^\]]*\])", plan_of(QUERIES[key](spark, FOLDER))).group(1)
+    assert re.search(r"bulan#\d+ = 5", found("sales_by_year"))
+    assert re.search(r"bulan#\d+ = 5", found("sales_by_day")) and re.search(r"tahun#\d+ = 1997", found("sales_by_day"))
+
+
+def test_foreign_keys_read_each_fact_once(spark):
+    plan = plan_of(QUERIES["check_foreign_keys"](spark, FOLDER))
+    assert len(re.findall(r"FileScan", plan)) == 10
+
+
 @pytest.mark.parametrize("key, scans", [("category_movers", 1), ("recommendations", 2)])
 def test_movers_read_the_sales_once(spark, key, scans):
     plan = plan_of(QUERIES[key](spark, FOLDER))
@@ -112,7 +123,7 @@ def _items(spark, hot: str):
 
 def test_a_hot_product_is_split_by_the_build(spark, eager_splits):
     orders = spark.range(5000).selectExpr(
-        "id AS order_id", "1 AS waktu_id", "2017 AS tahun", "id % 9 AS pelanggan_key",
+        "id AS order_id", "1 AS waktu_id", "2017 AS tahun", "1 AS bulan", "id % 9 AS pelanggan_key",
         "3 AS durasi_pengiriman",
     )
     produk = spark.range(1000).selectExpr("id AS product_id", "id + 1 AS produk_key")

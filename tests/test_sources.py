@@ -111,12 +111,13 @@ def test_build_on_awkward_rows(spark):
     items = table("order_items", [
         (10, 1, 3, 4, money(5), 2), (10, 2, 3, 4, money(5), 3), (11, 1, 1, 4, money(1), 1),
         (11, 2, 99, 4, money(1), 1), (12, 1, 1, 4, money(1), 1),
+        (13, 1, 1, 55, money(2), 4),
     ])
     payments = table("order_payments", [
         (10, 1, "b", "boleto", money(9)), (10, 2, "v", "voucher", money(1)),
-        (11, 1, "a", None, money(2)),
+        (11, 1, "a", None, money(2)), (12, 1, None, None, money(4)), (13, 1, "b", "boleto", money(3)),
     ])
-    reviews = table("order_reviews", [(1, 10, 5), (1, 10, 5), (2, 11, 3)])
+    reviews = table("order_reviews", [(1, 10, 5), (1, 10, 5), (2, 11, 3), (4, 13, 1)])
 
     waktu = build.dim_waktu(orders)
     produk = build.dim_produk(products, translation)
@@ -132,21 +133,28 @@ def test_build_on_awkward_rows(spark):
     ]
     assert sorted(r[:2] for r in values(pelanggan)) == [(1, "C7"), (2, "C8")]
     assert sorted(r[:2] for r in values(metode)) == [(1, None), (2, "boleto"), (3, "voucher")]
-    # Order 12 has no customer row, item 99 no product row.
-    assert sorted(values(sales)) == [
-        (1, 1, 2, 1, 1, money(1), 2017),
-        (1, 3, 1, 1, 2, money(5), 2017), (1, 3, 1, 1, 3, money(5), 2017),
-    ]
-    assert sorted(values(build.fakta_pengiriman(lines)), key=str) == [
-        (1, 1, 1, 3, 3, 2017), (1, 1, 1, 3, 3, 2017), (1, 2, 1, 1, None, 2017),
-    ]
-    assert sorted(values(build.fakta_pembayaran(payments, keyed, metode))) == [
-        (1, 1, 1, 2, money(9), 2017), (2, 1, 1, 3, money(1), 2017), (3, 1, 2, 1, money(2), 2017),
-    ]
-    assert sorted(values(build.fakta_review(reviews, lines))) == [
-        (1, 1, 3, 5, 2017), (1, 1, 3, 5, 2017), (1, 2, 1, 3, 2017),
-    ]
-    assert sorted(values(build.fakta_seller(sales))) == [(1, 1, 1, 2017, 1), (1, 1, 3, 2017, 5)]
+    rows = lambda df: sorted(values(df), key=str)
+    # Order 12 has no customer row, item 99 no product row, order 13 is not there at all.
+    assert rows(sales) == sorted([
+        (1, 1, 2, 1, 1, money(1), 2017, 1), (1, None, 2, 1, 1, money(1), 2017, 1),
+        (1, 3, 1, 1, 2, money(5), 2017, 1), (1, 3, 1, 1, 3, money(5), 2017, 1),
+        (1, 1, None, 1, 1, money(1), 2017, 1), (None, 1, None, None, 4, money(2), None, None),
+    ], key=str)
+    assert rows(build.fakta_pengiriman(lines)) == sorted([
+        (1, 1, 1, 3, 3, 2017, 1), (1, 1, 1, 3, 3, 2017, 1), (1, 2, 1, 1, None, 2017, 1),
+        (1, 2, 1, None, None, 2017, 1), (1, None, 1, 1, 3, 2017, 1), (None, None, None, 1, None, None, None),
+    ], key=str)
+    assert rows(build.fakta_pembayaran(payments, keyed, metode)) == sorted([
+        (1, 1, 1, 2, money(9), 2017, 1), (2, 1, 1, 3, money(1), 2017, 1), (3, 1, 2, 1, money(2), 2017, 1),
+        (4, 1, None, None, money(4), 2017, 1), (5, None, None, 2, money(3), None, None),
+    ], key=str)
+    assert rows(build.fakta_review(reviews, lines)) == sorted([
+        (1, 1, 3, 5, 2017, 1), (1, 1, 3, 5, 2017, 1), (1, 2, 1, 3, 2017, 1), (1, 2, None, 3, 2017, 1),
+        (None, None, 1, 1, None, None),
+    ], key=str)
+    assert rows(build.fakta_seller(sales)) == sorted([
+        (1, 1, 1, 2017, 1, 2), (1, 1, 3, 2017, 1, 5), (1, 1, None, 2017, 1, 1), (None, None, 1, None, None, 4),
+    ], key=str)
 
 
 def test_cleanse_keeps_the_same_row_in_any_order(spark):

@@ -566,6 +566,27 @@ FROM (
   FROM orders
   UNION ALL SELECT 'fakta_review', count(*), NULL
   FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) x"""
+_RAW_ORDERS = """
+WITH raw AS (
+  SELECT o_orderkey AS k, o_custkey, CAST(o_orderdate AS TIMESTAMP) AS placed, copy,
+    CASE WHEN o_orderkey % 100 = 0 AND copy = 2 THEN TIMESTAMP '2001-01-01'
+      WHEN o_orderstatus = 'P' THEN NULL
+      ELSE CAST(CAST(o_orderdate AS DATE) + CAST(1 + (o_orderkey * 13 + o_custkey) % 60 AS INT) AS TIMESTAMP)
+      END AS delivered,
+    CASE WHEN o_orderkey % 101 = 0 THEN 'missing' WHEN o_orderkey % 103 = 0 THEN 'not bigint'
+      WHEN o_orderkey % 97 = 0 THEN 'not timestamp' END AS fault
+  FROM orders, (SELECT unnest([1, 2]) AS copy) c WHERE copy = 1 OR o_orderkey % 50 = 0
+)"""
+QUERIES["etl_accepted_orders"] = f"""{_RAW_ORDERS}
+SELECT k AS order_id, o_custkey AS customer_id, placed AS order_purchase_timestamp,
+  nullif(min(coalesce(delivered, TIMESTAMP '1900-01-01')), TIMESTAMP '1900-01-01') AS order_delivered_customer_date
+FROM raw WHERE fault IS NULL GROUP BY k, o_custkey, placed"""
+QUERIES["etl_cleansing_counts"] = f"""{_RAW_ORDERS}
+SELECT * FROM (
+  SELECT 'accepted' AS outcome, NULL AS "column", NULL AS reason, count(DISTINCT k) AS rows FROM raw WHERE fault IS NULL
+  UNION ALL SELECT 'rejected', 'order_id', 'repeated', count(*) - count(DISTINCT k) FROM raw WHERE fault IS NULL
+  UNION ALL SELECT 'rejected', CASE fault WHEN 'not timestamp' THEN 'order_purchase_timestamp' ELSE 'order_id' END, fault, count(*)
+  FROM raw WHERE fault IS NOT NULL GROUP BY fault) x WHERE outcome = 'accepted' OR rows > 0"""
 QUERIES["pair_rowcounts"] = _pair_counts()
 QUERIES["geo_json"] = """
 SELECT tipe, data, max, '{"tipe":"' || tipe || '","data":' || data || ',"max":' || max || '}'
