@@ -15,13 +15,15 @@ distinct n-grams. The steps:
    chance meetings do not chain from band to band.
 4. Clusters are cut into tiles of one size band. Each pair of tiles that may hold
    a link of the cluster's band is one unit of work: bit counts of hashed bitmaps bound the overlap from above,
-   pairs above the bound are intersected as sorted arrays. Pairs already connected are passed by.
+   pairs above the bound are intersected as sorted arrays. Each pair of classes that links is met in one
+   unit, so link counts add up; where only components are asked for, pairs already connected are passed by.
 5. Components of the links, over classes.
 
 Nulls and texts without words have the empty set and link with nothing, each row
 being its own component. Rows may repeat, also their ids: a component is named by the
 smallest id in it. A null id takes part as no document and keeps a null component
-unless its set links it to others. Extra columns are ignored.
+unless its set links it to others; a class that only holds null ids is compared with no other
+class. Texts of any length are one set. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ BUCKET = 1 << 20
 #: A tile's documents and n-grams at most.
 TILE_ROWS = 2048
 TILE_GRAMS = 1 << 21
+#: N-grams that are intersected with one set at a time.
+OVERLAP = 1 << 20
 
 
 def bands(percent: int) -> np.ndarray:
@@ -101,12 +105,27 @@ def keys_of(
 
 
 def node_of(a: int, band: int) -> int:
-    """The node that stands for a class among the clusters of a band; ``_node`` is its like in Spark."""
-    return a ^ (band << 40)
+    """The node that stands for a class among the clusters of a band; ``_node`` is its like in Spark.
+
+    A number of 40 bits. Classes that share one by chance are in one cluster, which costs
+    comparisons but changes no result.
+    """
+    return ((a ^ (band << 40)) & ((1 << 64) - 1)) >> 24
 
 
 def _node(band: Column) -> Column:
-    return F.col("a").bitwiseXOR(F.shiftleft(band.cast("long"), 40))
+    return F.shiftrightunsigned(F.col("a").bitwiseXOR(F.shiftleft(band.cast("long"), 40)), 24)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers of 40 bits as five bytes each, lowest bytes first, so that the high bytes of sorted ones compress."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(5, -1).T
+    return out.view("<u8").ravel().astype(_U)
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -155,14 +174,17 @@ def _send(n: int, percent: int, buckets: int):
 
     def flush(keys: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, owner, links = _stars(np.concatenate(keys), np.concatenate(owners))
-        bucket = (key >> _U(32)) % _U(buckets)
-        order = np.argsort(bucket, kind="stable")
+        # The high bits name the bucket, 40 others tell keys of a bucket apart; a chance
+        # meeting of keys only adds a comparison.
+        bucket = (key >> _U(40)) % _U(buckets)
+        key = key & _U((1 << 40) - 1)
+        order = np.lexsort((key, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=_U))
         key, owner = key[order], owner[order]
         # Links found here ride along; they only have to be spread.
         link_cuts = np.linspace(0, len(links), buckets + 1).astype(int)
         rows = [
-            (b, key[i:j].tobytes(), owner[i:j].tobytes(), links[s:t].tobytes())
+            (b, pack(key[i:j]), pack(owner[i:j]), pack(links[s:t].ravel()))
             for b, (i, j, s, t) in enumerate(zip(cuts, cuts[1:], link_cuts, link_cuts[1:]))
             if j > i or t > s
         ]
@@ -197,9 +219,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each bucket. Rows come sorted by bucket, one bucket is held at a time."""
 
     def close(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        join = lambda k, kind: np.frombuffer(b"".join(x[k] for x in held), kind)
-        _, _, links = _stars(join(0, _U), join(1, np.int64))
-        sent = join(2, np.int64).reshape(-1, 2)
+        join = lambda k: np.concatenate([unpack(x[k]) for x in held])
+        _, _, links = _stars(join(0), join(1).astype(np.int64))
+        sent = join(2).astype(np.int64).reshape(-1, 2)
         links = np.unique(np.concatenate([links, sent]), axis=0)
         return pa.RecordBatch.from_arrays(
             [pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"]
@@ -217,18 +239,32 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(held)
 
 
-def link_sets(
-    sets: list[np.ndarray], percent: int, side: np.ndarray | None = None
-) -> list[tuple[int, int]]:
-    """Enough links to connect what is linked among sorted distinct arrays.
+def _overlaps(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted array with others."""
+    both = np.concatenate(others)
+    place = np.searchsorted(a, both)
+    place[place == len(a)] = 0
+    starts = np.append(0, np.cumsum([len(x) for x in others])[:-1])
+    return np.add.reduceat((a[place] == both).astype(np.int64), starts)
+
 
-    With ``side`` (0 or 1 for each set) only links between the sides are looked for.
+def link_sets(
+    sets: list[np.ndarray], percent: int, side: np.ndarray | None = None,
+    copies: np.ndarray | None = None, own: np.ndarray | None = None,
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Enough links to connect what is linked among sorted distinct arrays, and link counts.
+
+    With ``side`` (0 or 1 for each set) only links between the sides are looked for. With
+    ``copies`` (rows that each set stands for) every link is found, and each set's linked rows are counted,
+    over the links whose smaller set is marked in ``own``; without, pairs already connected are passed by
+    and the counts are 0.
     """
+    counts = np.zeros(len(sets), np.int64)
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
     size = size[order]
     if not len(order):
-        return []
+        return [], counts
     bits = min(max(256, 1 << int(size[-1]).bit_length()), 1 << 16)
     shift = _U(64 - bits.bit_length() + 1)
     maps = np.empty((len(order), bits // 64), _U)
@@ -236,21 +272,38 @@ def link_sets(
         odd = np.bincount((sets[k] >> shift).astype(np.int64), minlength=bits) & 1
         maps[row] = np.packbits(odd.astype(np.uint8)).view(_U)
     group = np.arange(len(order))
-    own = side[order] if side is not None else None
+    half = side[order] if side is not None else None
     links = []
     for i in range(len(order) - 1):
         to = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
         other = np.arange(i + 1, to)
-        other = other[group[other] != group[i]]
-        if own is not None:
-            other = other[own[other] != own[i]]
+        if copies is None:
+            other = other[group[other] != group[i]]
+        elif not own[order[i]]:
+            continue
+        if half is not None:
+            other = other[half[other] != half[i]]
         if not len(other):
             continue
         differ = np.bitwise_count(maps[other] ^ maps[i]).sum(1, dtype=np.int64)
         both = size[i] + size[other]
         bound = (both - differ) // 2
         a = sets[order[i]]
-        for j in other[100 * bound >= percent * (both - bound)]:
+        other = other[100 * bound >= percent * (both - bound)]
+        if copies is not None:
+            step = max(1, OVERLAP // max(int(size[i]), 1))
+            for at in range(0, len(other), step):
+                some = other[at : at + step]
+                shared = _overlaps(a, [sets[k] for k in order[some]])
+                some = some[100 * shared >= percent * (len(a) + size[some] - shared)]
+                counts[order[i]] += copies[order[some]].sum()
+                counts[order[some]] += copies[order[i]]
+                for j in some:
+                    if group[j] != group[i]:
+                        links.append((int(order[i]), int(order[j])))
+                        group[group == group[j]] = group[i]
+            continue
+        for j in other:
             if group[j] == group[i]:
                 continue
             b = sets[order[j]]
@@ -260,25 +313,31 @@ def link_sets(
             if 100 * shared >= percent * (len(a) + len(b) - shared):
                 links.append((int(order[i]), int(order[j])))
                 group[group == group[j]] = group[i]
-    return links
+    return links, counts
 
 
-def _compare(n: int, percent: int):
-    """Links of each unit. Rows come sorted by unit, one unit is held at a time."""
+def _compare(n: int, percent: int, count: bool):
+    """Links of each unit, and rows with a null ``b`` that say how many rows a class links to.
 
-    def close(held: dict[tuple[int, int], tuple[int, int, np.ndarray]], two: bool) -> pa.RecordBatch:
-        ids = np.array([x[0] for x in held.values()], np.int64)
-        side = np.array([x[1] for x in held.values()], np.int64) if two else None
-        found = np.array(link_sets([x[2] for x in held.values()], percent, side), np.int64)
-        found = found.reshape(-1, 2)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], names=["a", "b"]
+    Rows come sorted by unit, one unit is held at a time.
+    """
+
+    def close(held: dict[tuple[int, int], tuple], two: bool) -> pa.RecordBatch:
+        ids, side, copies, own = (np.array([x[k] for x in held.values()], np.int64) for k in range(4))
+        links, counts = link_sets(
+            [x[4] for x in held.values()], percent, side if two else None, copies if count else None, own
         )
+        found = np.array(links, np.int64).reshape(-1, 2)
+        some = np.flatnonzero(counts)
+        a = np.concatenate([ids[found[:, 0]], ids[some]])
+        b = pa.array([*ids[found[:, 1]].tolist(), *[None] * len(some)], pa.int64())
+        times = np.concatenate([np.zeros(len(found), np.int64), counts[some]])
+        return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(times)], names=["a", "b", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
         for batch in batches:
-            meta = {c: batch.column(c).to_pylist() for c in ("unit", "id", "a", "b", "side", "two")}
+            meta = {c: batch.column(c).to_pylist() for c in ("unit", "id", "a", "b", "side", "two", "copies", "own")}
             for i, grams in enumerate(_sets(batch, n)):
                 if meta["unit"][i] != now:
                     if held:
@@ -286,7 +345,7 @@ def _compare(n: int, percent: int):
                     now, now_two, held = meta["unit"][i], meta["two"][i], {}
                 # An id may stand on several rows; only that of this class counts.
                 if len(grams) and _digest(grams) == (meta["a"][i], meta["b"][i]):
-                    held[meta["a"][i], meta["b"][i]] = (meta["id"][i], meta["side"][i], grams)
+                    held[meta["a"][i], meta["b"][i]] = (*(meta[c][i] for c in ("id", "side", "copies", "own")), grams)
         if held:
             yield close(held, now_two)
 
@@ -294,7 +353,7 @@ def _compare(n: int, percent: int):
 
 
 def _units(members: DataFrame) -> DataFrame:
-    """``members(root, rep, n, a, b, band, low)`` with the units that each is compared in.
+    """``members(root, rep, n, a, b, band, low, copies)`` with the units that each is compared in.
 
     ``low`` is the band of the cluster, in which the smaller set of a link lies; members
     are of this band or the next.
@@ -330,14 +389,18 @@ def _units(members: DataFrame) -> DataFrame:
     whole = F.expr("array(struct(0 as side, false as two, '' as x, '' as y))")
     return (
         mine.withColumn("u", F.explode(F.when(F.col("many"), pairs).otherwise(whole)))
-        .select("rep", "a", "b", F.concat_ws("/", F.col("root").cast("string"), F.col("low").cast("string"), "u.x", "u.y").alias("unit"), "u.side", "u.two")
+        .select("rep", "a", "b", "copies", (F.col("band") == F.col("low")).alias("own"), F.concat_ws("/", F.col("root").cast("string"), F.col("low").cast("string"), "u.x", "u.y").alias("unit"), "u.side", "u.two")
     )
 
 
 def ngram_classes(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, percent: int = 85
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, percent: int = 85,
+    count_links: bool = True,
 ) -> DataFrame:
-    """``(id, n_shingles, component_id)`` for every row of ``docs``."""
+    """``(id, n_shingles, component_id, n_links)`` for every row of ``docs``.
+
+    ``n_links`` is the number of other rows that the row links with. Without ``count_links`` it is left out, and
+    pairs that are connected already are not compared."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must lie between 1 and 100")
     if words < 1:
@@ -349,7 +412,7 @@ def ngram_classes(
         texts.mapInArrow(_describe(words, percent), "id long, n long, a long, b long, band int"), "sets"
     )
     classes = keep(
-        described.filter("n > 0").groupBy("n", "a", "b", "band").agg(F.min("id").alias("rep")), "classes"
+        described.filter("n > 0").groupBy("n", "a", "b", "band").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
 
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -368,24 +431,30 @@ def ngram_classes(
         "*", F.explode(F.array_distinct(F.array("band", F.greatest(F.col("band") - 1, F.lit(0))))).alias("low")
     )
     members = nodes.join(clusters, _node(F.col("low")) == clusters["node"])
-    members = keep(members.select("root", "rep", "n", "a", "b", "band", "low"), "members")
+    members = keep(members.select("root", "rep", "n", "a", "b", "band", "low", "copies"), "members")
     units = _units(members)
     pairs = (
         units.join(texts.filter("id is not null"), F.col("rep") == F.col("id"))
-        .select("unit", "id", "a", "b", "side", "two", "text")
+        .select("unit", "id", "a", "b", "side", "two", "copies", "own", "text")
         .repartition(4 * partitions(spark), "unit")
         .sortWithinPartitions("unit")
-        .mapInArrow(_compare(words, percent), "a long, b long")
+        .mapInArrow(_compare(words, percent, count_links), "a long, b long, times long")
     )
-    linked = components(pairs)
-    named = keep(
-        classes.join(linked, classes["rep"] == linked["node"], "left").select(
-            "n", "a", "b", F.coalesce("root", "rep").alias("component_id")
-        ),
-        "named",
+    if count_links:
+        pairs = keep(pairs, "pairs")
+    linked = components(pairs.filter("b is not null").select("a", "b"))
+    named = classes.join(linked, classes["rep"] == linked["node"], "left").select(
+        "n", "a", "b", "rep", "copies", F.coalesce("root", "rep").alias("component_id")
     )
-    some = described.filter("n > 0").join(named, ["n", "a", "b"]).select("id", "n", "component_id")
-    none = described.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    if count_links:
+        counts = pairs.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("times").alias("times"))
+        named = named.join(counts, "rep", "left")
+    else:
+        named = named.withColumn("times", F.lit(0))
+    links = (F.col("copies") - 1 + F.coalesce("times", F.lit(0))).cast("long").alias("n_links")
+    named = keep(named.select("n", "a", "b", "component_id", links), "named")
+    some = described.filter("n > 0").join(named, ["n", "a", "b"]).select("id", "n", "component_id", "n_links")
+    none = described.filter("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return some.union(none).select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id"
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", *(["n_links"] if count_links else [])
     )

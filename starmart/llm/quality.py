@@ -2,14 +2,15 @@
 
 Every text is read once and becomes a row of statistics, which is written. The
 trees are fitted on a bounded sample of the labelled rows (``MAX_LABELLED``, those with the
-lowest hash of their id, whatever the size of the input) and flattened into arrays: one row
+lowest hash of their id, whatever the size of the input; of texts that share an id the lowest statistics) and flattened into arrays: one row
 of nodes per tree, walked for all documents of a batch at once.
 
 Scores lie between 0 and 1, higher where label 1 is likelier. Null and empty texts have
 the statistics of an empty text and are scored like any other. Labels other than 0 and 1 are left
 out; of several labels of an id the lowest counts. Without labels of both kinds every score is the share
 of label 1 (0.5 without labels). Rows that repeat are scored each; a null id counts as held
-out if its empty text does, and learns nothing. Extra columns are ignored.
+out if its empty text does, and learns nothing. Texts of any length are read whole. A score equal to the limit is accepted. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starmart.llm.sample import lowest
 from starmart.llm.store import keep, prepare
 from starmart.llm.words import Words, words
 
@@ -190,14 +192,13 @@ def score_quality(
     known = (
         labels.filter("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("y"))
     )
-    sample = (
-        described.filter(~held_out(F.col("id")))
-        .join(known, "id")
-        .orderBy(F.xxhash64("id"), "id", F.xxhash64("x"))
-        .limit(max_labelled)
-        .select("x", "y")
-        .collect()
+    here = keep(
+        known.filter(~held_out(F.col("id"))).join(described.filter("id is not null").select("id").distinct(), "id"), "labelled"
     )
+    # At most max_labelled rows of two numbers are broadcast, and as many of statistics reach the driver.
+    some = F.broadcast(lowest(here, max_labelled, "id"))
+    sample = described.join(some, "id").groupBy("id", "y").agg(F.min("x").alias("x")).collect()
+    sample.sort(key=lambda r: r["id"])
     rows = np.array([r["x"] for r in sample], float).reshape(-1, len(FEATURES))
     trees = fit(rows, np.array([r["y"] for r in sample], float))
     scored = described.mapInArrow(_score(trees), "id long, row long, score double")

@@ -15,7 +15,7 @@ from starmart.llm.packing import pack
 from starmart.llm.quality import score_quality
 from starmart.llm.quality_rules import quality_rules
 from starmart.llm.quotes import reply_order
-from starmart.llm.secrets import scan_secrets
+from starmart.llm.secrets import dictionary_of, scan_secrets
 from starmart.llm.store import new_folder, table
 from starmart.llm.tiling import contaminated
 from starmart.llm.token_files import read_tokens, write_tokens
@@ -69,7 +69,7 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    found = scan_secrets(table(spark, folder, "documents"))
+    found = scan_secrets(table(spark, folder, "documents"), dictionary=dictionary_of(tokenizer_path()))
     return found.select("doc_id", "nth", "start", F.length("candidate").alias("length"), "secret")
 
 
@@ -122,6 +122,33 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op10_ngram_jaccard": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents
+        ),
+        s AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS grams
+          FROM d
+        ),
+        n AS (SELECT doc_id, len(grams) AS n FROM s),
+        x AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+        shared AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+        ),
+        links AS (
+          SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+          WHERE 100 * shared.n >= 85 * (na.n + nb.n - shared.n)
+        ),
+        reach AS (SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+        low AS (SELECT node, min(other) AS other FROM reach GROUP BY node),
+        degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(low.other, n.doc_id)) AS component_id,
+          CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links
+        FROM n LEFT JOIN low ON low.node = n.doc_id LEFT JOIN degree ON degree.a = n.doc_id
+    """,
     "op1_exact_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w

@@ -24,7 +24,8 @@ words and more counts as a quote too: ``> `` is often lost in copying. It links,
 
 Null texts are empty messages. Rows without conversation or turn belong to no thread and come
 out with null thread, depth and parent. Messages of one conversation and turn are one place in it: each comes out,
-and they share their links. Roles may be null. Extra columns are ignored.
+and they share their links. Roles may be null. Texts, lines and runs of quote marks may be of any length; work grows
+with the length. The turn before is the last one that exists, whatever its number. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starmart.llm.store import keep, prepare
+from starmart.operators.keys import surrogate_keys
 
 ECHO_WORDS = 5
 
@@ -43,7 +45,8 @@ def normalised(text: Column) -> Column:
 
 def _lines(text: Column) -> Column:
     """Lines with their quote level, what follows the marks, and that normalised."""
-    marks = r"^(?:[ \t]*>)+"
+    # One class repeated, not a group: a group takes stack for every mark of a long run.
+    marks = r"^[ \t>]*>"
     read = F.transform(
         F.split(text, "\r\n|\r|\n"),
         lambda line: F.struct(
@@ -56,21 +59,21 @@ def _lines(text: Column) -> Column:
 
 def _passages(lines: Column) -> Column:
     """Consecutive lines of one level together."""
-    empty = F.array().cast("array<struct<level:int,line:string,norm:string>>")
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        same = (F.size(done) > 0) & (F.when(F.size(done) > 0, last["level"]) == x["level"])
-        longer = F.struct(
-            x["level"].alias("level"),
-            F.concat_ws("\n", last["line"], x["line"]).alias("line"),
-            F.concat_ws("\n", last["norm"], x["norm"]).alias("norm"),
+    n = F.size(lines)
+    level = lambda i: F.get(lines, i)["level"]
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
+
+    def passage(start: Column, end: Column) -> Column:
+        some = F.slice(lines, start + 1, end - start)
+        join = lambda c: F.array_join(F.transform(some, lambda x: x[c]), "\n").alias(c)
+        return F.struct(level(start).alias("level"), join("line"), join("norm"))
+
+    return F.flatten(
+        F.transform(
+            F.array(starts),
+            lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(n)), passage),
         )
-        return F.when(
-            F.coalesce(same, F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
-        ).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(lines, empty, add)
+    )
 
 
 def _code(norm: Column) -> Column:
@@ -216,9 +219,11 @@ def reply_order(messages: DataFrame) -> DataFrame:
         F.sum("n").alias("n_linked"),
     )
     places = read.filter("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
-    before = places.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
+    # Ranked over all conversations, so that none of them has to fit a task.
+    ranked = keep(surrogate_keys(places, ["conv_id", "turn"], "place"), "ranked")
+    before = ranked.select("conv_id", (F.col("place") + 1).alias("place"), F.col("turn").alias("previous"))
     placed = keep(
-        places.join(before, ["conv_id", "turn"], "left")
+        ranked.join(before, ["conv_id", "place"], "left")
         .join(chosen, ["conv_id", "turn"], "left")
         .select("conv_id", "turn", F.coalesce("origin", "previous").alias("parent"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")),
         "places",

@@ -2,109 +2,197 @@
 
 Only DataFrame expressions and Spark's own forest are used; no Python runs on the executors.
 
-A candidate is a run of at least ``LEAST`` characters of ``[A-Za-z0-9_+/=-]`` with a
-digit and a letter in it, or a run of ``LEAST`` digits and more. It is found together with up to
-``NEAR`` characters before and after. Its features: length, shares of digits, of upper case
-and of hexadecimal digits, how often the kind of character changes, distinct characters, the share that common letter pairs cover
-(dictionary coverage), signs of a path or address around it, and secret, harmless or
-assigning words beside it.
-
-The forest learns from labelled findings: rows ``(before, candidate, after, label)`` of the caller, or,
-without them, the findings of these texts that confirmed rules settle: 1 for long mixed strings that are assigned to a
-secret's name or carry a known issuer's prefix, 0 for plain numbers, paths, addresses and identifiers. At most ``MAX_LABELLED`` of each label, those
-with the lowest hash, are used. Should only one label occur, what the rules settle stands
-and other candidates are judged by that label.
+Candidates are found by pattern and by context. By pattern: runs of at least ``LEAST`` characters of
+``[A-Za-z0-9_+/-]``, with up to nine such runs joined by dots and up to two ``=`` at the end, that hold a digit or
+change from lower to upper case twice. By context: whatever is assigned to a name with a secret's word in it, up to the
+closing quote or the next blank, of any length and any characters. Each is found together with up to
+``NEAR`` characters before and after.
+
+The forest judges them by length, kinds of characters and their transitions, entropy,
+the share that words of a dictionary cover, signs of a path or address inside and beside, and
+neighbouring words. It learns from labelled findings ``(before, candidate, after, label)``: those of the
+caller, at most ``MAX_LABELLED`` distinct ones of each label (those with the lowest hash), or the
+``examples`` made from templates. Should only one label occur, every candidate is judged by it; without
+labelled findings none is a secret. A probability of one half counts as a secret.
 
 Each candidate of a text is one row, equal ones included, at its place in the text.
-Null and empty texts have none. Rows that repeat are scanned each; a null id is kept. Extra columns are ignored.
+Null and empty texts have none. A text of any length is scanned as a whole. Rows that repeat are scanned each; a null id
+is kept. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Collection
+
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starmart.llm.sample import lowest
+from starmart.llm.secret_examples import examples
 from starmart.llm.store import keep, prepare
 
 LEAST = 16
-NEAR = 24
+NEAR = 40
 MAX_LABELLED = 4_000
-TREES, DEPTH = 20, 6
+TREES, DEPTH = 40, 8
 MARK = "[SECRET]"
 
-_SECRET_WORDS = "token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credential|bearer"
-_HARMLESS_WORDS = "sha1|sha256|md5|checksum|digest|commit|uuid|guid|example|sample|placeholder|dummy|test"
+_SECRET_WORDS = (
+    "token|secret|passwd|password|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?![a-z])|authorization|credential|bearer"
+)
+_HARMLESS_WORDS = "sha1|sha256|md5|checksum|digest|commit|revision|uuid|guid|example|sample|placeholder|dummy|test"
+_PLACEHOLDERS = r"(?i)example|sample|your|changeme|placeholder|dummy|todo|xxxx|\*\*\*|^[<$\[{]|^(true|false|none|null|nil|no|yes)$"
 _ISSUERS = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abpr]-|sk_live_|sk-|AIza|eyJ)"
-# Letter pairs that are common in words of several languages, for dictionary coverage.
-_PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|nt|ng|se|ha|ou|le|de|ch|ie|ge|ei|un|ic|la|os|ue|ai|qu|me"
 
-_RUN = r"[A-Za-z0-9_+/=\-]"
-#: A candidate begins where no such character stands before. Neighbours are read from what lies between.
-_PATTERN = rf"(?<!{_RUN}){_RUN}{{{LEAST},}}"
+# No group of these patterns repeats without bound, as each turn would take stack.
+_NAME = r"A-Za-z0-9_.\-"
+_ASSIGNED = (
+    rf"(?<![{_NAME}])[{_NAME}]{{0,40}}(?i:{_SECRET_WORDS})[A-Za-z0-9_]{{0,20}}[\"'`]?[ \t]{{0,3}}(?:=>|:=|[=:]{{1,2}})[ \t]{{0,3}}"
+    r"(?:(?i:bearer|basic)[ \t]{1,3})?"
+)
+_VALUE = r"(?:\"[^\"\n]+(?=\")|'[^'\n]+(?=')|`[^`\n]+(?=`)|[^\s\"'`,;]+)"
+_RUN = (
+    rf"(?<![A-Za-z0-9_+/=\-])[A-Za-z0-9_+/\-]{{{LEAST},}}(?:\.[A-Za-z0-9_\-]{{{LEAST},}}){{0,8}}={{0,2}}"
+)
+_MATCH = rf"{_ASSIGNED}{_VALUE}|{_RUN}"
+#: What belongs to the context at the beginning of a match.
+_LEAD = rf"^{_ASSIGNED}[\"'`]?"
 
 FEATURES = [
-    "length", "digits", "upper", "hexadecimal", "changes", "distinct", "dictionary", "only_digits", "path_before", "dots_beside",
-    "assigned", "quoted", "secret_word", "harmless_word", "issuer",
+    "length", "digits", "upper", "lower", "symbols", "hexadecimal", "entropy", "to_upper", "to_lower", "to_digit", "from_digit",
+    "vowel_turns", "hard_runs", "distinct", "dictionary", "only_digits", "uuid", "placeholder", "call", "path_before", "path_inside",
+    "dots_beside", "assigned", "quoted", "secret_word", "harmless_word", "issuer",
 ]
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("double")
+def dictionary_of(path: str, least: int = 4) -> list[str]:
+    """Words of a public tokenizer's vocabulary file, at most as many as it has entries."""
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    ends = (key.removesuffix("</w>") for key in vocabulary if key.endswith("</w>"))
+    return sorted({word for word in ends if re.fullmatch(rf"[a-z]{{{least},}}", word)})
+
+
+def _cut(text: Column) -> tuple[Column, Column]:
+    """Matches of a text, and the pieces around them: one more, and they alternate."""
+    return F.split(text, _MATCH, -1), F.regexp_extract_all(text, F.lit(_MATCH), F.lit(0))
 
 
 def find_candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(doc_id, nth, start, before, candidate, after)``: place in characters, from 1."""
+    """``(doc_id, nth, start, before, candidate, after)``: place in characters, from 1.
+
+    ``nth`` counts the matches of a text, from 0, those that are no candidates included.
+    """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).filter(
-        F.col("text").rlike(_PATTERN)
+        F.col("text").rlike(_MATCH)
     )
-    # Pieces between candidates alternate with them, so places are running sums.
-    pieces = F.split("text", _PATTERN, -1)
-    found = F.regexp_extract_all("text", F.lit(f"({_PATTERN})"), F.lit(1))
+    pieces, found = _cut(F.col("text"))
     laid = texts.select("doc_id", pieces.alias("pieces"), found.alias("found"))
-    lengths = F.zip_with(
-        F.slice("pieces", 1, F.size("found")), "found", lambda p, c: F.struct(F.length(p).alias("p"), F.length(c).alias("c"))
-    )
-    # Sums of all before each, built in one pass over the array.
-    starts = F.aggregate(
-        lengths,
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda s, x: F.struct((s["at"] + x["p"] + x["c"]).alias("at"), F.concat(s["all"], F.array(s["at"] + x["p"])).alias("all")),
-        lambda s: s["all"],
-    )
     rows = laid.select(
         "doc_id",
         F.posexplode(
-            F.arrays_zip(F.slice("pieces", 1, F.size("found")).alias("p"), F.col("found").alias("c"), F.slice("pieces", 2, F.size("found")).alias("n"), starts.alias("s"))
+            F.arrays_zip(
+                F.slice("pieces", 1, F.size("found")).alias("p"), F.col("found").alias("m"),
+                F.slice("pieces", 2, F.size("found")).alias("n"), _starts().alias("s"),
+            )
         ).alias("nth", "x"),
     )
-    return rows.select(
-        "doc_id", "nth", F.col("x.s").alias("start"), F.right("x.p", F.lit(NEAR)).alias("before"),
-        F.col("x.c").alias("candidate"), F.left("x.n", F.lit(NEAR)).alias("after"),
-    ).filter(F.col("candidate").rlike("[0-9]"))
+    lead = F.regexp_extract("x.m", _LEAD, 0)
+    candidate = F.expr("substring(x.m, length(lead) + 1)")
+    held = rows.withColumn("lead", lead).withColumn("candidate", candidate).filter(
+        "candidate <> '' AND (lead <> '' OR candidate RLIKE '[0-9]|[a-z][A-Z].*[a-z][A-Z]')"
+    )
+    return held.select(
+        "doc_id", "nth", (F.col("x.s") + F.length("lead")).alias("start"),
+        F.right(F.concat("x.p", "lead"), F.lit(NEAR)).alias("before"), "candidate", F.left("x.n", F.lit(NEAR)).alias("after"),
+    )
+
 
+def _starts() -> Column:
+    """Where each match starts: running sums of the lengths before it.
 
-def with_features(found: DataFrame) -> DataFrame:
+    The array grows by one entry a match and is copied each time, in runs of a thousand, which are
+    then put together.
+    """
+    lengths = F.zip_with(
+        F.slice("pieces", 1, F.size("found")), "found", lambda p, c: F.struct(F.length(p).alias("p"), F.length(c).alias("c"))
+    )
+    none = F.array().cast("array<int>")
+    state = F.struct(F.lit(1).alias("at"), none.alias("some"), F.array().cast("array<array<int>>").alias("all"))
+
+    def step(s: Column, x: Column) -> Column:
+        full = F.size(s["some"]) >= 1000
+        here = F.array(s["at"] + x["p"])
+        return F.struct(
+            (s["at"] + x["p"] + x["c"]).alias("at"),
+            F.when(full, here).otherwise(F.concat(s["some"], here)).alias("some"),
+            F.when(full, F.concat(s["all"], F.array(s["some"]))).otherwise(s["all"]).alias("all"),
+        )
+
+    return F.aggregate(lengths, state, step, lambda s: F.concat(F.flatten(s["all"]), s["some"]))
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("double")
+
+
+def _entropy(text: Column) -> Column:
+    """Bits per character of its first 4,096 distinct letters' shares."""
+    n = F.length(text)
+    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
+    return F.aggregate(
+        F.array_distinct(F.split(text, "")), F.lit(0.0), lambda s, c: s - F.when(c == "", 0.0).otherwise(share(c) * F.log2(share(c)))
+    )
+
+
+def _covered(found: DataFrame, dictionary: Collection[str]) -> DataFrame:
+    """``found(finding, candidate)`` with the share of each candidate that words of the dictionary cover."""
+    words = found.sparkSession.createDataFrame(pa.table({"word": pa.array(list(dictionary), pa.string())}))
+    parts = found.select("finding", F.explode(F.regexp_extract_all("candidate", F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), F.lit(0))).alias("part"))
+    # The dictionary is that of the caller and bounded by what the driver was given.
+    known = parts.withColumn("word", F.lower("part")).join(F.broadcast(words), "word", "left_semi")
+    covered = known.groupBy("finding").agg(F.sum(F.length("word")).alias("letters"))
+    return found.join(covered, "finding", "left").withColumn(
+        "dictionary", F.coalesce("letters", F.lit(0)) / F.length("candidate")
+    ).drop("letters")
+
+
+def with_features(found: DataFrame, dictionary: Collection[str] = ()) -> DataFrame:
+    """Findings ``(finding, before, candidate, after)`` with ``FEATURES``."""
     c, before, after = F.col("candidate"), F.col("before"), F.col("after")
     n = F.length(c).cast("double")
     near = F.lower(before)
-    changes = _count(c, "[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])")
     flag = lambda test: test.cast("double")
-    return found.withColumns(
+    return _covered(found, dictionary).withColumns(
         {
-            "length": n,
+            "length": F.log1p(n),
             "digits": _count(c, "[0-9]") / n,
             "upper": _count(c, "[A-Z]") / n,
+            "lower": _count(c, "[a-z]") / n,
+            "symbols": _count(c, r"[^A-Za-z0-9]") / n,
             "hexadecimal": _count(c, "[0-9a-fA-F]") / n,
-            "changes": changes / n,
+            "entropy": _entropy(c),
+            "to_upper": _count(c, "[a-z](?=[A-Z])") / n,
+            "to_lower": _count(c, "[A-Z](?=[a-z])") / n,
+            "to_digit": _count(c, "[A-Za-z](?=[0-9])") / n,
+            "from_digit": _count(c, "[0-9](?=[A-Za-z])") / n,
+            "vowel_turns": _count(F.lower(c), "[b-df-hj-np-tv-z](?=[aeiou])") / n,
+            "hard_runs": _count(F.lower(c), "[b-df-hj-np-tv-xz]{4}") / n,
             "distinct": F.size(F.array_distinct(F.split(c, ""))).cast("double"),
-            "dictionary": 2 * _count(F.lower(c), _PAIRS) / n,
             "only_digits": flag(c.rlike("^[0-9]+$")),
-            "path_before": flag(before.rlike(r"(://|www\.|[/\\.])[^\s]*$") | c.rlike("^/|/.*/")),
+            "uuid": flag(c.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
+            "placeholder": flag(c.rlike(_PLACEHOLDERS)),
+            "call": flag(c.rlike(r"[(\[]")),
+            "path_before": flag(before.rlike(r"(://|www\.|[/\\.])[^\s]*$")),
+            "path_inside": flag(c.rlike("^/|/.*/")),
             "dots_beside": flag(after.rlike(r"^[.@:]\w") | before.rlike(r"\w[.@]$")),
-            "assigned": flag(before.rlike(r"[=:]\s*[\"'`]?$")),
+            "assigned": flag(before.rlike(r"[=:>]\s*[\"'`]?$")),
             "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
             "secret_word": flag(near.rlike(_SECRET_WORDS)),
             "harmless_word": flag(near.rlike(_HARMLESS_WORDS)),
@@ -113,61 +201,72 @@ def with_features(found: DataFrame) -> DataFrame:
     )
 
 
-def settled_label() -> Column:
-    """What the confirmed rules say: 1, 0, or null where they do not settle it."""
-    f = F.col
-    mixed = (f("digits") > 0.05) & (f("only_digits") == 0) & (f("length") >= 20) & (f("dictionary") < 0.3)
-    return (
-        F.when((f("issuer") == 1) & mixed, 1)
-        .when((f("secret_word") == 1) & (f("assigned") == 1) & (f("harmless_word") == 0) & mixed, 1)
-        .when((f("only_digits") == 1) | (f("path_before") == 1) | (f("dots_beside") == 1), 0)
-        .when(f("candidate").rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), 0)
-        .when((f("harmless_word") == 1) & (f("secret_word") == 0), 0)
+def _sample(docs: DataFrame, labelled: DataFrame | None, most: int) -> DataFrame:
+    """Distinct labelled findings, at most ``most`` of either label."""
+    columns = ("before", "candidate", "after", "label")
+    if labelled is None:
+        rows = examples(min(most, 2_000))
+        labelled = docs.sparkSession.createDataFrame(pa.table(dict(zip(columns, map(list, zip(*rows))))))
+    known = keep(
+        labelled.filter("label IN (0, 1)").select(
+            F.coalesce("before", F.lit("")).alias("before"), "candidate", F.coalesce("after", F.lit("")).alias("after"),
+            F.col("label").cast("double").alias("label"),
+        ).filter("candidate <> ''").distinct(),
+        "labelled",
     )
+    parts = [lowest(known.filter(F.col("label") == label), most, *columns[:3]) for label in (0.0, 1.0)]
+    return parts[0].union(parts[1])
 
 
 def scan_secrets(
     docs: DataFrame, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED,
-    id_column: str = "doc_id", text_column: str = "text",
+    id_column: str = "doc_id", text_column: str = "text", dictionary: Collection[str] = (),
 ) -> DataFrame:
     """``(doc_id, nth, start, candidate, probability, secret)`` for each candidate."""
     prepare(docs.sparkSession)
-    found = keep(with_features(find_candidates(docs, id_column, text_column)), "findings")
-    source = with_features(labelled) if labelled is not None else found.withColumn("label", settled_label())
-    known = source.filter("label in (0, 1)").select(F.col("label").cast("double").alias("label"), "before", "candidate", "after", *FEATURES)
-    order = (F.xxhash64("before", "candidate", "after"), "candidate", "before", "after")
-    sample = keep(
-        known.filter("label = 1").orderBy(*order).limit(max_labelled)
-        .union(known.filter("label = 0").orderBy(*order).limit(max_labelled)),
-        "labelled",
-    )
+    number = F.monotonically_increasing_id().alias("finding")
+    bare = keep(find_candidates(docs, id_column, text_column).select("*", number), "candidates")
+    found = with_features(bare, dictionary)
+    sample = keep(with_features(keep(_sample(docs, labelled, max_labelled).select("*", number), "sample"), dictionary), "labelled")
     labels = sorted(r["label"] for r in sample.select("label").distinct().collect())
     if len(labels) == 2:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="vector")
+        # One partition of bounded size in a fixed order, so that the same forest comes out each time.
+        rows = vectors.transform(sample.coalesce(1).sortWithinPartitions("candidate", "before", "after", "label"))
         forest = RandomForestClassifier(
             featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7, probabilityCol="both"
-        ).fit(vectors.transform(sample.coalesce(1)))
+        ).fit(rows)
         judged = forest.transform(vectors.transform(found)).withColumn("probability", vector_to_array("both")[1])
     else:
-        judged = found.withColumn("probability", F.coalesce(settled_label(), F.lit(labels[0] if labels else 0)).cast("double"))
+        judged = found.withColumn("probability", F.lit(labels[0] if labels else 0.0))
     return judged.select(
         "doc_id", "nth", "start", "candidate", "probability", (F.col("probability") >= 0.5).alias("secret")
     )
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with each secret replaced by ``MARK`` wherever it stands between other characters.
+    """``docs`` with each secret replaced by ``MARK`` at its place, and no other text touched.
 
-    A document's secrets are gathered once per distinct string. Rows of one id share the redaction.
+    ``findings`` come from a scan of the same texts. Rows of one id share the places, so ids should be those of rows. Columns of any name pass
+    through unchanged.
     """
     own = (
-        findings.filter("secret and doc_id is not null")
-        .select(F.col("doc_id").alias("_id"), "candidate")
-        .distinct()
-        .groupBy("_id")
-        # Longer ones first, as one may be the beginning of another.
-        .agg(F.array_sort(F.collect_list("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets"))
+        findings.filter("secret AND doc_id IS NOT NULL")
+        .groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("nth").alias("nths"))
+    )
+    row = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_column].cast("long").alias("id"), docs[text_column].alias("text")
+    )
+    pieces, found = _cut(F.col("text"))
+    marked = F.transform(
+        found,
+        lambda m, i: F.when(F.array_contains("nths", i), F.concat(F.regexp_extract(m, _LEAD, 0), F.lit(MARK))).otherwise(m),
     )
-    clean = F.aggregate("_secrets", F.col(text_column), lambda t, s: F.replace(t, s, F.lit(MARK)))
-    joined = docs.join(own, docs[id_column] == own["_id"], "left")
-    return joined.withColumn(text_column, F.when(F.col("_secrets").isNull(), F.col(text_column)).otherwise(clean)).select(docs.columns)
+    # One piece more than matches, so the last is followed by nothing.
+    clean = F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), marked.alias("m")), lambda x: F.concat(x["p"], F.coalesce(x["m"], F.lit("")))), "")
+    joined = row.join(own, "id", "left")
+    columns = [
+        F.when(F.col("nths").isNull(), F.col("text")).otherwise(clean).alias(c) if c == text_column else F.col("row")[c].alias(c)
+        for c in docs.columns
+    ]
+    return joined.select(*columns)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from starmart.session import prepare_session, scratch_table, shared_folder
 
@@ -29,6 +31,31 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return scratch_table(df, f"llm-{name}")
 
 
+#: Most files that rows are numbered by, and rows of a file.
+FILES, FILE_BITS = 100_000, 36
+
+
+def with_row_numbers(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` with a number for each row that stays the same whenever the rows are read.
+
+    Rows that come straight from files are numbered by their file and their place in it, without
+    a copy; the names of files, at most ``FILES``, are what is broadcast. Other rows are numbered and written.
+    """
+    if column in docs.columns:
+        raise ValueError(f"the rows have a column {column} already")
+    try:
+        place = docs.metadataColumn("_metadata")
+        names = docs.select(place["file_path"].alias("file")).distinct()
+        files = keep(names.withColumn("number", F.row_number().over(Window.orderBy("file")).cast("long")), "files")
+    except AnalysisException:
+        files = None
+    if files is None or files.count() > FILES:
+        return keep(docs.withColumn(column, F.monotonically_increasing_id()), "rows")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), place["file_path"].alias("file"), place["row_index"].alias("at"))
+    number = F.shiftleft("number", FILE_BITS) + F.col("at")
+    return rows.join(F.broadcast(files), "file").select("row.*", number.alias(column))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 

@@ -32,7 +32,10 @@ def brute(rows, words, percent):
     low = {}
     for i, (doc, _) in enumerate(rows):
         low[find(i)] = min(low.get(find(i), doc), doc)
-    return sorted((doc, len(sets[i]), low[find(i)]) for i, (doc, _) in enumerate(rows))
+    links = [
+        sum(j != i and bool(a) and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)
+    ]
+    return sorted((doc, len(sets[i]), low[find(i)], links[i]) for i, (doc, _) in enumerate(rows))
 
 
 def near_copies(seed, families=25, copies=9, most=160):
@@ -64,6 +67,17 @@ def test_same_as_all_pairs(spark, words, percent):
     assert run(spark, rows, words=words, percent=percent) == brute(rows, words, percent)
 
 
+def test_without_counts(spark):
+    rows = near_copies(9)
+    assert run(spark, rows, words=4, percent=85, count_links=False) == [r[:3] for r in brute(rows, 4, 85)]
+
+
+def test_forty_bits_round_trip():
+    numbers = np.array([0, 1, (1 << 40) - 1, 123456789012], np.uint64)
+    assert (ngram_join.unpack(ngram_join.pack(numbers)) == numbers).all()
+    assert len(ngram_join.unpack(ngram_join.pack(numbers[:0]))) == 0
+
+
 def test_cut_clusters_give_the_same(spark, monkeypatch):
     rows = near_copies(7, families=6, copies=30, most=60)
     with monkeypatch.context() as m:
@@ -92,7 +106,7 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
-    assert ngram_classes(df).columns == ["doc_id", "n_shingles", "component_id"]
+    assert ngram_classes(df).columns == ["doc_id", "n_shingles", "component_id", "n_links"]
     assert ngram_classes(df).count() == 0
 
 
@@ -112,7 +126,7 @@ def test_keys_meet_for_every_linked_pair():
         a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * 2)
         lost = int(rng.integers(0, 15 * n // 185 + 1))
         b = np.unique(np.concatenate([a[lost:], rng.integers(0, 1 << 63, lost).astype(np.uint64)]))
-        linked = len(link_sets([a, b], 85)) == 1
+        linked = len(link_sets([a, b], 85)[0]) == 1
         shared = np.intersect1d(a, b).size
         assert linked == (100 * shared >= 85 * (len(a) + len(b) - shared))
         if linked and not np.array_equal(a, b):

@@ -64,3 +64,24 @@ def test_each_row_is_judged_by_its_own_text(spark, tmp_path):
     keys = [key() for _ in range(20)]
     found = run(corpus_pipeline.without_secrets, [(None, f'some token = "{k}" and more') for k in keys] + [(1, "card 1234567890123456 here")])
     assert len(found) == 21 and not any(k in t for _, t in found for k in keys)
+
+
+def test_empty_table_and_columns_of_any_name(spark, tmp_path):
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save([(i, int(i < 20), 0) for i in range(30)], "doc_id long, quality int, toxic int", "labels")
+    save([(1, text(30))], "item_id long, text string", "benchmark")
+    schema = "doc_id long, text string, _row string, row int, file string, number int, id long, nths int, n int, a string, at int, _metadata string"
+    rows = [(i, text(40) + "." if i < 20 else " | ".join(text(40).split()) + " |", "x", 1, "f", 2, 3, 4, 5, "b", 6, "m") for i in range(30)]
+    rows += [(None, None, None, None, None, None, None, None, None, None, None, None), (40, text(9) + ' token = "9f8e7d6c5b4a39281706f5e4d3c2b1a098765432" ' + text(9) + ".", "x", 1, "f", 2, 3, 4, 5, "b", 6, "m")]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/full")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none")
+    for name in ("full", "none"):
+        first = docs = spark.read.parquet(f"{tmp_path}/{name}")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.keep(stage(spark, docs, str(tmp_path)), "test")
+            assert docs.columns == first.columns
+        assert {tuple(r)[2:] for r in docs.collect()} <= {r[2:] for r in rows}
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert (packed.count() > 0) == (name == "full")
