@@ -221,6 +221,40 @@ def test_url_rules_and_models(spark):
     assert all(got[i].verdict == "block" for i in range(len(good), len(good) + len(bad)))
     assert urls.judge_urls(pages.limit(0)).count() == 0
     assert {r.verdict for r in urls.judge_urls(pages.filter("page_id < 3")).collect()} == {"allow"}
+    # Labels turned around, some of them unknown or repeated.
+    turned = [(u, 1) for u in good] + [(u, 0) for u in bad] + [(good[0], 1), (None, 1), (good[1], None), ("no scheme", 0)]
+    labelled = spark.createDataFrame(turned, "url string, rejected int")
+    got = {r.page_id: r.verdict for r in urls.judge_urls(pages, labelled=labelled).collect()}
+    assert {got[i] for i in range(len(good))} == {"block"} and {got[i] for i in range(len(good), len(good) + len(bad))} == {"allow"}
+
+
+def test_url_scores_are_those_of_plain_models(spark):
+    """Witten-Bell over all contexts, counted with dictionaries."""
+    rng = random.Random(6)
+    texts = {k: ["".join(rng.choice(k * 3 + "abc/") for _ in range(rng.randint(1, 30))) for _ in range(40)] for k in ("xy", "qé")}
+
+    def plain(samples):
+        counts = collections.defaultdict(collections.Counter)
+        for t in samples:
+            raw = bytes(urls.ORDER) + t.encode()
+            for i in range(urls.ORDER, len(raw)):
+                for n in range(urls.ORDER + 1):
+                    counts[raw[i - n : i]][raw[i]] += 1
+        def probability(context, byte):
+            lower = probability(context[1:], byte) if context else 1 / 256
+            seen = counts.get(context)
+            if not seen:
+                return lower
+            return (seen[byte] + len(seen) * lower) / (sum(seen.values()) + len(seen))
+        pad = lambda t: bytes(urls.ORDER) + t
+        return lambda t: sum(np.log(probability(pad(t)[i : i + urls.ORDER], t[i])) for i in range(len(t)))
+
+    a, b = (plain(texts[k]) for k in texts)
+    models = [urls.fit_model(texts[k]) for k in texts]
+    some = ["xyab", "qqéc/", "", "zzz", texts["xy"][3]]
+    got = urls.differences(pa.array(some), models[0], models[1])
+    want = [(b(t.encode()) - a(t.encode())) / max(len(t.encode()), 1) for t in some]
+    assert np.allclose(got, want, atol=1e-9), (got, want)
 
 
 def test_markov_model_is_a_distribution():
