@@ -72,7 +72,7 @@ def load_star(spark: SparkSession, source: Mapping[str, DataFrame], folder: str)
         build.key_map(d, warehouse.keyed(d), known.get(d)).write.parquet(keys[d])
     # The sales fact is the table of keyed lines.
     paths = {name: warehouse.paths["keyed_lines" if name == "fakta_penjualan" else name] for name in STAR_SCHEMAS}
-    entry = (number, own, paths, keys, dict(star.row_counts.items()), warehouse.null_keys)
+    entry = (number, own, paths, keys, dict(star.row_counts.items()), {f: warehouse.null_keys(f) for f in FACT_KEYS})
     spark.createDataFrame([entry], _MANIFEST).coalesce(1).write.mode("append").json(f"{folder}/manifest")
     return open_star(spark, folder, number)
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Collection, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from threading import Lock, RLock
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starmart.model import DIMENSION_KEYS, FACT_KEYS, FOREIGN_KEYS, LAYOUT, STAR_SCHEMAS, Star
@@ -38,7 +38,7 @@ class Warehouse(Mapping[str, DataFrame]):
         self._written: dict[str, DataFrame] = {}
         self._published: dict[str, DataFrame] = {}
         self.paths: dict[str, str] = {}
-        self.null_keys: dict[str, dict[str, int]] = {}
+        self._null_keys: dict[str, dict[str, int]] = {}
         self._locks: defaultdict[str, RLock] = defaultdict(RLock)
         self._locking = Lock()
         self._star = Star(self, _RowCounts(self), _Enforced(self))
@@ -99,13 +99,7 @@ class Warehouse(Mapping[str, DataFrame]):
             df = laid_out_by_month(df)
             if FACT_KEYS[fact] == "id":
                 df = df.withColumn("id", F.monotonically_increasing_id())
-            # Counted on the way to the files. A task that runs twice may count twice, but none
-            # stays none.
-            missing = Observation(name)
-            keys = {d: DIMENSION_KEYS[d] for d in FOREIGN_KEYS[fact]}
-            counts = [F.count_if(F.col(key).isNull()).alias(d) for d, key in keys.items()]
-            written = write_and_read(df.observe(missing, *counts), path, tuple(LAYOUT))
-            self.null_keys[fact] = {d: int(missing.get[d] or 0) for d in keys}
+            written = write_and_read(df, path, tuple(LAYOUT))
         self.paths[name] = path
         return written
 
@@ -125,10 +119,17 @@ class Warehouse(Mapping[str, DataFrame]):
         """Delete the written tables; what is asked for afterwards is built anew."""
         for path in self.paths.values():
             remove_folder(self._spark, path)
-        for held in (self._written, self._published, self.paths, self.null_keys):
+        for held in (self._written, self._published, self.paths, self._null_keys):
             held.clear()
         self._star = Star(self, _RowCounts(self), _Enforced(self))
 
+    def null_keys(self, fact: str) -> dict[str, int]:
+        """Rows of a written fact without a key, per dimension: one scan of its keys, made once."""
+        if fact not in self._null_keys:
+            counts = [F.count_if(F.col(DIMENSION_KEYS[d]).isNull()).alias(d) for d in FOREIGN_KEYS[fact]]
+            self._null_keys[fact] = self.keyed(fact).agg(*counts).first().asDict()
+        return self._null_keys[fact]
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in STAR_SCHEMAS:
             raise KeyError(name)
@@ -170,7 +171,7 @@ class _RowCounts(Mapping[str, int]):
 
 
 class _Enforced(Mapping[str, Collection[str]]):
-    """Dimensions of each fact whose key is NULL in no row, as counted while it was written."""
+    """Dimensions of each fact whose key is NULL in no row."""
 
     def __init__(self, warehouse: Warehouse):
         self._warehouse = warehouse
@@ -178,8 +179,7 @@ class _Enforced(Mapping[str, Collection[str]]):
     def __getitem__(self, name: str) -> Collection[str]:
         if name not in FACT_KEYS:
             raise KeyError(name)
-        self._warehouse.keyed(name)
-        return [d for d, n in self._warehouse.null_keys[name].items() if not n]
+        return [d for d, n in self._warehouse.null_keys(name).items() if not n]
 
     def __iter__(self) -> Iterator[str]:
         return iter(FACT_KEYS)

@@ -44,7 +44,7 @@ def test_rows_with_unknown_keys_stay_and_leave_the_joins(spark, tmp_path):
     warehouse.load()
     star = warehouse.star()
     assert star["fakta_penjualan"].count() == 5
-    assert warehouse.null_keys["fakta_penjualan"] == {"dim_waktu": 1, "dim_produk": 1, "dim_pelanggan": 1, "dim_seller": 1}
+    assert warehouse.null_keys("fakta_penjualan") == {"dim_waktu": 1, "dim_produk": 1, "dim_pelanggan": 1, "dim_seller": 1}
     assert not star.holds("fakta_penjualan", "dim_produk") and star.holds("fakta_pembayaran", "dim_waktu")
     # All dimensions: the unknown product, customer and date leave. The trend joins the date only.
     assert values(dashboard.kpi_revenue(star)) == [(6.0,)]
