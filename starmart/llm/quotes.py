@@ -181,7 +181,8 @@ def link_quotes(read: DataFrame) -> DataFrame:
 def threads(places: DataFrame) -> DataFrame:
     """``places(conv_id, turn, parent)`` with ``thread`` and ``depth``.
 
-    Each round doubles how far up every message has looked, until all are at the top.
+    Each round doubles how far up a message has looked; those that have found the top are done
+    and take no part in later rounds, so a long thread costs rounds for itself only.
     """
     reach = keep(
         places.select(
@@ -190,21 +191,23 @@ def threads(places: DataFrame) -> DataFrame:
         ),
         "reach",
     )
+    done, open_ = reach.filter("parent is null"), reach.filter("parent is not null")
     while True:
-        up = reach.select(
+        up = done.union(open_).select(
             "conv_id", F.col("turn").alias("thread"), F.col("thread").alias("higher"), F.col("depth").alias("more")
         )
+        # Whatever a message looks at is a place itself, so each finds one row.
         after = keep(
-            reach.join(up, ["conv_id", "thread"], "left").select(
-                "conv_id", "turn", "parent", F.coalesce("higher", "thread").alias("thread"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            open_.join(up, ["conv_id", "thread"]).select(
+                "conv_id", "turn", "parent", F.col("higher").alias("thread"), (F.col("depth") + F.col("more")).alias("depth"),
                 (F.col("more") > 0).alias("moved"),
             ),
             "reach",
         )
-        reach = after.drop("moved")
-        if not after.filter("moved").head(1):
-            return reach
+        done = done.union(after.filter("not moved").drop("moved"))
+        open_ = after.filter("moved").drop("moved")
+        if not open_.head(1):
+            return done
 
 
 def reply_order(messages: DataFrame) -> DataFrame:
