@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
-from dataclasses import dataclass, field
+from collections import ChainMap
+from collections.abc import Collection, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,16 +129,33 @@ class Star:
     ``row_counts`` holds known dimension sizes; an unknown size counts as large.
     ``enforced`` states which fact keys are non-NULL and have their dimension row in
     all rows: all of them, none, or the dimensions named for each fact. An operator may leave out
-    a join that such a key makes and whose columns it never uses.
+    a join that such a key makes and whose columns it never uses. ``colocated`` holds, by fact and
+    dimension, the parts of a fact that is laid out by the key of a large dimension.
     """
 
     tables: Mapping[str, DataFrame]
     row_counts: Mapping[str, int] = field(default_factory=dict)
     enforced: bool | Mapping[str, Collection[str]] = False
+    colocated: Mapping[tuple[str, str], Sequence[Mapping[str, DataFrame]]] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def parts(self, fact: str, dimension: str) -> list[Star]:
+        """Stars whose facts make up ``fact``, each to be joined with ``dimension`` by itself.
+
+        One, this star, unless the two are laid out by the dimension's key.
+        """
+        if (fact, dimension) not in self.colocated:
+            return [self]
+        cold, hot = self.colocated[fact, dimension]
+        sizes = {d: self.row_counts[d] for d in self.row_counts if d != dimension}
+        # The rows of hot keys in the dimension are at most as many as there are buckets.
+        return [
+            replace(self, tables=ChainMap(cold, self.tables), row_counts=sizes, colocated={}),
+            replace(self, tables=ChainMap(hot, self.tables), row_counts={**sizes, dimension: 0}, colocated={}),
+        ]
+
     def is_small(self, dimension: str) -> bool:
         rows = self.row_counts.get(dimension)
         return rows is not None and rows <= BROADCAST_ROWS

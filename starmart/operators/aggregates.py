@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -28,16 +29,11 @@ class Measure(NamedTuple):
             return F.count(self.column)
         return None
 
-    def second(self, name: str) -> Column:
+    def second(self, name: str | Column) -> Column:
         """The step over the results of the first, held in column ``name``."""
-        if self.kind == "distinct":
-            return F.count_distinct(self.column)
         merged = F.sum(name)
         return merged if self.kind == "sum" else or_zero(merged)
 
-    def whole(self) -> Column:
-        return F.count_distinct(self.column) if self.kind == "distinct" else self.first()
-
 
 def total(column: str) -> Measure:
     return Measure("sum", column)
@@ -52,9 +48,51 @@ def value_count(column: str) -> Measure:
 
 
 def distinct_count(column: str) -> Measure:
+    """Distinct values of a surrogate key. Such keys are dense, so they are counted in bitmaps."""
     return Measure("distinct", column)
 
 
+def _merged(
+    rows: DataFrame, by: list[str], measures: dict[str, Measure], steps: dict[str, Column]
+) -> DataFrame:
+    """``measures`` per ``by``, those other than distinct counts by ``steps``.
+
+    A distinct count goes by blocks of 32,768 keys: each task sends a bitmap of 4 KB for a block that it
+    meets, and the set bits are counted once the bitmaps of a block are merged. Several distinct counts
+    share one scan: a row stands once for each of them, and the other measures go with the first.
+    """
+    counted = {n: m for n, m in measures.items() if m.kind == "distinct"}
+    if not counted:
+        return rows.groupBy(*by).agg(*[expr.alias(n) for n, expr in steps.items()])
+    used = {x for n, m in measures.items() if m.kind != "distinct" for x in (n, m.column)}
+    inputs = [c for c in rows.columns if c in used and c not in by]
+    stands = [
+        F.struct(
+            F.lit(i).alias("_of"),
+            F.bitmap_bucket_number(F.col(m.column).cast("long")).alias("_block"),
+            F.bitmap_bit_position(F.col(m.column).cast("long")).alias("_bit"),
+            *[F.col(c) if i == 0 else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in inputs],
+        )
+        for i, m in enumerate(counted.values())
+    ]
+    if len(stands) == 1:
+        rows = rows.withColumns({n: stands[0][n] for n in ("_of", "_block", "_bit")})
+    else:
+        rows = rows.select(*by, F.explode(F.array(*stands)).alias("_stand")).select(*by, "_stand.*")
+    first = F.col("_of") == 0
+    blocks = rows.groupBy(*by, "_of", "_block").agg(
+        F.bitmap_construct_agg("_bit").alias("_bitmap"),
+        *[expr.alias(n) for n, expr in steps.items()],
+    )
+    found = {n: F.sum(F.when(F.col("_of") == i, F.bitmap_count("_bitmap"))) for i, n in enumerate(counted)}
+    return blocks.groupBy(*by).agg(
+        *[
+            or_zero(found[n]).alias(n) if n in found else m.second(F.when(first, F.col(n))).alias(n)
+            for n, m in measures.items()
+        ]
+    )
+
+
 def _aggregate(rows: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     if not aggs:
         return rows.select(*keys).distinct()
@@ -92,18 +130,21 @@ def aggregate(
     keys = [DIMENSION_KEYS[d] for d in columns]
     inputs = [m.column for m in measures.values() if m.column]
     inputs += [name for name, (table, _) in by.items() if table == fact]
-    rows = star.fact(fact, year, month).select(*dict.fromkeys(keys + inputs))
+    scan = lambda part: part.fact(fact, year, month).select(*dict.fromkeys(keys + inputs))
 
     if not large:
-        rows = attach_all(rows, star, columns, where)
-        return rows.groupBy(*by).agg(*[m.whole().alias(n) for n, m in measures.items()])
+        rows = attach_all(scan(star), star, columns, where)
+        return _merged(rows, list(by), measures, {n: m.first() for n, m in measures.items() if m.kind != "distinct"})
 
     last = large[-1]
-    rows = attach_all(rows, star, {d: c for d, c in columns.items() if d != last}, where)
     known = [name for name, (table, _) in by.items() if table != last]
     distinct = [m.column for m in measures.values() if m.kind == "distinct"]
     kept = list(dict.fromkeys([DIMENSION_KEYS[last], *known, *distinct]))
     steps = [m.first().alias(n) for n, m in measures.items() if m.kind != "distinct"]
-    rows = _aggregate(rows, kept, steps)
-    rows = attach(rows, star, last, *columns[last], where=where.get(last))
-    return rows.groupBy(*by).agg(*[m.second(n).alias(n) for n, m in measures.items()])
+
+    def met(part: Star) -> DataFrame:
+        rows = attach_all(scan(part), part, {d: c for d, c in columns.items() if d != last}, where)
+        return attach(_aggregate(rows, kept, steps), part, last, *columns[last], where=where.get(last))
+
+    rows = reduce(DataFrame.unionByName, [met(part) for part in star.parts(fact, last)])
+    return _merged(rows, list(by), measures, {n: m.second(n) for n, m in measures.items() if m.kind != "distinct"})

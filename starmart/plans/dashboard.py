@@ -6,6 +6,8 @@ leave out part of the filter set on purpose; they say so.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -235,25 +237,33 @@ def top10_sellers_revenue(star: Star, f: FilterSpec = NO_FILTER, k: int = 10) ->
     return top(_seller_totals(star, f), k, "total_revenue", "label")
 
 
+def spend_per_customer(star: Star, how: str, f: FilterSpec = NO_FILTER) -> DataFrame:
+    """Revenue beside the customer's key and id; each part of the sales meets the customers by itself."""
+    found = []
+    for part in star.parts("fakta_penjualan", "dim_pelanggan"):
+        spend = aggregate(
+            part,
+            "fakta_penjualan",
+            ("dim_waktu", "dim_produk"),
+            {"revenue": total("total_harga")},
+            {"pelanggan_key": ("fakta_penjualan", F.col("pelanggan_key"))},
+            f.without("state").by_dimension(),
+            f.year,
+            f.month,
+        )
+        where = f.by_dimension().get("dim_pelanggan")
+        found.append(attach(spend, part, "dim_pelanggan", "pelanggan_id", where=where, how=how))
+    return reduce(DataFrame.unionByName, found)
+
+
 def top10_customers_revenue(star: Star, f: FilterSpec = NO_FILTER, k: int = 10) -> DataFrame:
     """Customers by revenue; one without a customer row goes by its key.
 
     Sales are summed per customer before the customer table is joined. A state
     filter leaves only customers that have a row.
     """
-    spend = aggregate(
-        star,
-        "fakta_penjualan",
-        ("dim_waktu", "dim_produk"),
-        {"revenue": total("total_harga")},
-        {"pelanggan_key": ("fakta_penjualan", F.col("pelanggan_key"))},
-        f.without("state").by_dimension(),
-        f.year,
-        f.month,
-    )
     where = f.by_dimension().get("dim_pelanggan")
-    how = "left" if where is None else "inner"
-    named = attach(spend, star, "dim_pelanggan", "pelanggan_id", where=where, how=how)
+    named = spend_per_customer(star, "left" if where is None else "inner", f)
     label = F.coalesce("pelanggan_id", F.col("pelanggan_key").cast("string")).alias("label")
     totals = named.groupBy(label).agg(F.sum("revenue").alias("total_revenue"))
     return top(

@@ -20,8 +20,7 @@ from starmart.functions.scalars import (
 )
 from starmart.model import Star
 from starmart.operators.aggregates import aggregate, row_count, total
-from starmart.operators.joins import attach
-from starmart.plans.dashboard import DELIVERY, PAYMENT, REVIEW, SALES, SELLER_SALES
+from starmart.plans.dashboard import DELIVERY, PAYMENT, REVIEW, SALES, SELLER_SALES, spend_per_customer
 
 
 def _joined(
@@ -91,16 +90,9 @@ def join_review_star(star: Star) -> DataFrame:
 
 def join_left_customer_label(star: Star) -> DataFrame:
     """Sales per customer label, also for keys without a customer row."""
-    spend = aggregate(
-        replace(star, enforced=False),
-        "fakta_penjualan",
-        ("dim_waktu", "dim_produk"),
-        {"spend": total("total_harga")},
-        {"pelanggan_key": ("fakta_penjualan", F.col("pelanggan_key"))},
-    )
-    named = attach(spend, star, "dim_pelanggan", "pelanggan_id", how="left")
+    named = spend_per_customer(replace(star, enforced=False), "left")
     label = F.coalesce("pelanggan_id", F.col("pelanggan_key").cast("string")).alias("label")
-    return named.groupBy(label).agg(money(F.sum("spend")).alias("total_revenue"))
+    return named.groupBy(label).agg(money(F.sum("revenue")).alias("total_revenue"))
 
 
 def star_filter_all(star: Star, f: FilterSpec = NO_FILTER) -> DataFrame:

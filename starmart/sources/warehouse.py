@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from starmart.model import DIMENSION_KEYS, FACT_KEYS, FOREIGN_KEYS, LAYOUT, STAR_SCHEMAS, Star
 from starmart.plans import build
 from starmart.session import laid_out_by_month, remove_folder, shared_folder, write_and_read
+from starmart.sources.colocated import colocate
 
 
 class Warehouse(Mapping[str, DataFrame]):
@@ -42,6 +43,7 @@ class Warehouse(Mapping[str, DataFrame]):
         self._locks: defaultdict[str, RLock] = defaultdict(RLock)
         self._locking = Lock()
         self._star = Star(self, _RowCounts(self), _Enforced(self))
+        self._colocated: dict[tuple[str, str], Star] = {}
 
     def frame(self, name: str) -> DataFrame:
         """The plan that builds one table from the tables before it."""
@@ -119,7 +121,7 @@ class Warehouse(Mapping[str, DataFrame]):
         """Delete the written tables; what is asked for afterwards is built anew."""
         for path in self.paths.values():
             remove_folder(self._spark, path)
-        for held in (self._written, self._published, self.paths, self._null_keys):
+        for held in (self._written, self._published, self.paths, self._null_keys, self._colocated):
             held.clear()
         self._star = Star(self, _RowCounts(self), _Enforced(self))
 
@@ -148,6 +150,15 @@ class Warehouse(Mapping[str, DataFrame]):
         """The facts take their keys from the dimensions, so a key that is not NULL has its row."""
         return self._star
 
+    def colocated(self, fact: str, dimension: str) -> Star:
+        """The star with ``fact`` also laid out by the key of ``dimension``, written when first asked for."""
+        with self._locking:
+            lock = self._locks[f"{fact} by {dimension}"]
+        with lock:
+            if (fact, dimension) not in self._colocated:
+                self._colocated[fact, dimension] = colocate(self._star, fact, dimension, self._folder)
+            return self._colocated[fact, dimension]
+
 
 class _RowCounts(Mapping[str, int]):
     """Dimension sizes, counted once each on the written table."""

@@ -587,6 +587,8 @@ SELECT * FROM (
   UNION ALL SELECT 'rejected', 'order_id', 'repeated', count(*) - count(DISTINCT k) FROM raw WHERE fault IS NULL
   UNION ALL SELECT 'rejected', CASE fault WHEN 'not timestamp' THEN 'order_purchase_timestamp' ELSE 'order_id' END, fault, count(*)
   FROM raw WHERE fault IS NOT NULL GROUP BY fault) x WHERE outcome = 'accepted' OR rows > 0"""
+QUERIES["join_sales_star_bucketed"] = QUERIES["join_sales_star"]
+QUERIES["join_left_customer_bucketed"] = QUERIES["join_left_customer_label"]
 QUERIES["pair_rowcounts"] = _pair_counts()
 QUERIES["geo_json"] = """
 SELECT tipe, data, max, '{"tipe":"' || tipe || '","data":' || data || ',"max":' || max || '}'
