@@ -1,17 +1,17 @@
-"""Word bigram model by deleted interpolation, learned from and applied to a whole corpus.
+"""Word n-gram model by deleted interpolation, learned from and applied to a whole corpus.
 
-A text is its words and one end; the word before the first is the end of the text before.
-A word's probability mixes three maximum-likelihood estimates::
+A text is its words and one end; the words before the first are ends of texts.
+A word's probability mixes the maximum-likelihood estimates of all orders; for the order of two::
 
     a * c(v, w) / c(v)  +  b * c(w) / N  +  (1 - a - b) / (V + 1)
 
-with weights that depend on how often the context v was seen (buckets by powers of two).
-The weights are learned by expectation-maximisation on held-out counts: each training token
+and for the order of three c(u, v, w) / c(u, v) beside them. The weights depend on how often the longest context that
+was seen has been seen (buckets by powers of two, for each length of context). The weights are learned by expectation-maximisation on held-out counts: each training token
 is left out of the counts that it is predicted from (c - 1), so all training texts
 serve for both. V + 1 allows for one unknown word.
 
 The corpus is read once and cut into chunks of whole documents, written as arrays of word numbers.
-Of each chunk its distinct words and word pairs, as 64-bit hashes with their training counts, go to
+Of each chunk its distinct words, word pairs and so on, as 64-bit hashes with their training counts, go to
 buckets by hash; a bucket sums the counts of all chunks and answers each chunk in the order it asked.
 A frequent word or pair is one entry per chunk, and nothing but sums over the vocabulary and
 the histogram for the weights (bounded by its bins) reaches the driver.
@@ -38,6 +38,7 @@ from starmart.llm.words import mix, words
 
 _U = np.uint64
 END = _U(0x5851F42D4C957F2D)
+_FACTOR = _U(0x9FB21C651E98DF25)
 #: UTF-8 bytes in a chunk, about; a longer document is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 CONTEXTS = 24
@@ -115,9 +116,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Chunk:
-    """One chunk's tokens, by number in its vocabulary, and the pairs that they form."""
+    """One chunk's tokens, by number in its vocabulary, and the n-grams that they form."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, order: int):
         self.ids = _unpack(row["ids"], "<i8")
         self.nulls = _unpack(row["nulls"], "u1").astype(bool)
         self.held = _unpack(row["held"], "u1").astype(bool)
@@ -125,26 +126,35 @@ class _Chunk:
         self.vocabulary = _unpack_sorted(row["vocabulary"])
         self.tokens = _unpack(row["tokens"], "<u4")
         self.first = np.append(0, np.cumsum(self.sizes))
-        end = int(np.searchsorted(self.vocabulary, END))
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.first[:-1]] = end
-        self.before = before
+        self.end = int(np.searchsorted(self.vocabulary, END))
         self.train = np.repeat(~self.held, self.sizes)
-        pair = mix(self.vocabulary[before] * _U(0x9FB21C651E98DF25) + self.vocabulary[self.tokens])
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        #: For each length, the distinct n-grams and the number of the one that ends in each token.
+        self.grams = [(self.vocabulary, self.tokens)]
+        word, start = self.vocabulary[self.tokens], END
+        gram = word
+        for _ in range(order - 1):
+            gram = mix(self.after_start(gram, start) * _FACTOR + word)
+            start = mix(np.array([start], _U) * _FACTOR + END)[0]
+            self.grams.append(np.unique(gram, return_inverse=True))
+
+    def after_start(self, values: np.ndarray, start) -> np.ndarray:
+        """For each token what ``values`` has for the token before it in its text, ``start`` for the first."""
+        before = np.empty_like(values)
+        before[1:] = values[:-1]
+        before[self.first[:-1]] = start
+        return before
 
     def requests(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for kind, hashes, at in ((0, self.vocabulary, self.tokens), (1, self.pairs, self.pair)):
+        for kind, (hashes, at) in enumerate(self.grams):
             yield kind, hashes, np.bincount(at[self.train], minlength=len(hashes))
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(k << 64) // buckets for k in range(1, buckets)], _U)
         for row in _rows(batches):
             out = []
-            for kind, hashes, counts in _Chunk(row).requests():
+            for kind, hashes, counts in _Chunk(row, order).requests():
                 cuts = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
                 for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
                     if j > i:
@@ -203,14 +213,25 @@ def _bucket_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(float))[1], CONTEXTS - 1)
 
 
-def _counted(row: dict) -> tuple[_Chunk, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk, and for each token the counts of its word, its context and their pair."""
-    chunk = _Chunk(row)
+def _group(contexts: list[np.ndarray]) -> np.ndarray:
+    """The bucket of the longest context that was seen; contexts come by length, from one word on."""
+    group = _bucket_of(contexts[0])
+    for n, count in enumerate(contexts[1:], 1):
+        group = np.where(count > 0, n * CONTEXTS + _bucket_of(count), group)
+    return group
+
+
+def _counted(row: dict, order: int) -> tuple[_Chunk, list[np.ndarray], list[np.ndarray]]:
+    """A chunk, and for each token the counts of its n-grams and of their contexts, by length."""
+    chunk = _Chunk(row, order)
     answer = lambda kind: np.concatenate(
         [_unpack(x["answer"], "<u8") for x in sorted(row["answers"], key=lambda x: x["bucket"]) if x["kind"] == kind]
     ).astype(np.int64)
-    word, pair = answer(0), answer(1)
-    return chunk, word[chunk.tokens], word[chunk.before], pair[chunk.pair]
+    totals = [answer(kind) for kind in range(order)]
+    counts = [total[at] for total, (_, at) in zip(totals, chunk.grams)]
+    # A text's first word follows as many starts as there are ends.
+    contexts = [chunk.after_start(count, totals[0][chunk.end]) for count in counts[:-1]]
+    return chunk, counts, contexts
 
 
 def _bin(p: np.ndarray) -> np.ndarray:
@@ -221,17 +242,18 @@ def _bin(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _histogram(total: int):
+def _histogram(total: int, order: int):
     """How many training tokens have which context bucket and left-out estimates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, int] = {}
         for row in _rows(batches):
-            chunk, word, context, pair = _counted(row)
-            use = chunk.train
-            word, context, pair = word[use] - 1, context[use] - 1, pair[use] - 1
-            cell = (_bucket_of(context) * BINS + _bin(pair / np.maximum(context, 1))) * BINS
-            cell += _bin(word / max(total - 1, 1))
+            chunk, counts, contexts = _counted(row, order)
+            counts, contexts = ([x[chunk.train] - 1 for x in xs] for xs in (counts, contexts))
+            cell = _group(contexts)
+            for count, context in zip(counts[:0:-1], contexts[::-1]):
+                cell = cell * BINS + _bin(count / np.maximum(context, 1))
+            cell = cell * BINS + _bin(counts[0] / max(total - 1, 1))
             for c, k in zip(*np.unique(cell, return_counts=True)):
                 sums[int(c)] = sums.get(int(c), 0) + int(k)
         yield pa.RecordBatch.from_arrays(
@@ -241,14 +263,21 @@ def _histogram(total: int):
     return run
 
 
-def learn_weights(cells: np.ndarray, number: np.ndarray, uniform: float, rounds: int = 60) -> np.ndarray:
-    """Weights of pair, word and uniform estimate for each context bucket."""
+def learn_weights(
+    cells: np.ndarray, number: np.ndarray, uniform: float, rounds: int = 60, order: int = 2
+) -> np.ndarray:
+    """Weights of the estimates, from the longest n-gram to the word, and of the uniform one for each context bucket."""
     estimate = lambda b: np.where(b > 0, 10.0 ** (-(b - 1) / 10), 0.0)
-    bucket = cells // (BINS * BINS)
-    parts = np.stack([estimate(cells // BINS % BINS), estimate(cells % BINS), np.full(len(cells), uniform)], 1)
-    weights = np.tile([0.3, 0.6, 0.1], (CONTEXTS, 1))
-    # A context that was not seen has no pairs.
-    weights[0] = [0, 0.9, 0.1]
+    bucket = cells // BINS**order
+    parts = np.stack(
+        [estimate(cells // BINS**n % BINS) for n in range(order - 1, -1, -1)] + [np.full(len(cells), uniform)], 1
+    )
+    weights = np.tile([0.3] * (order - 1) + [0.9 - 0.3 * min(order - 1, 2), 0.1], ((order - 1) * CONTEXTS, 1))
+    # A context that was not seen has no n-grams.
+    for n in range(order - 1):
+        weights[n * CONTEXTS : (n + 1) * CONTEXTS, : order - 2 - n] = 0
+    weights[0] = [0] * (order - 1) + [0.9, 0.1]
+    weights /= weights.sum(1, keepdims=True)
     for _ in range(rounds):
         share = parts * weights[bucket]
         share *= (number / share.sum(1))[:, None]
@@ -256,16 +285,18 @@ def learn_weights(cells: np.ndarray, number: np.ndarray, uniform: float, rounds:
             weights[b] = share[bucket == b].sum(0) / number[bucket == b].sum()
     # No word may become impossible.
     weights[:, 2] = np.maximum(weights[:, 2], 1e-6)
-    weights[0, 0] = 0
+    weights[0, : order - 1] = 0
     return weights / weights.sum(1, keepdims=True)
 
 
-def _score(weights: np.ndarray, total: int, distinct: int):
+def _score(weights: np.ndarray, total: int, distinct: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            chunk, word, context, pair = _counted(row)
-            w = weights[_bucket_of(context)]
-            p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(total, 1) + w[:, 2] / (distinct + 1)
+            chunk, counts, contexts = _counted(row, order)
+            w, word = weights[_group(contexts)], counts[0]
+            p = w[:, order - 1] * word / max(total, 1) + w[:, order] / (distinct + 1)
+            for n in range(1, order):
+                p += w[:, order - 1 - n] * counts[n] / np.maximum(contexts[n - 1], 1)
             if not total:
                 p = np.ones(len(word))
             base = np.log10((word + 0.1) / (total + 0.1 * (distinct + 1)))
@@ -286,8 +317,16 @@ def _score(weights: np.ndarray, total: int, distinct: int):
     return run
 
 
-def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row."""
+def score_texts(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", order: int = 2
+) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row.
+
+    ``order`` is the length of the longest n-grams, two at least. Disk grows with it: nearly each triple of a chunk is
+    one that the chunk has once.
+    """
+    if order < 2:
+        raise ValueError("the longest n-grams have two words at least")
     spark = prepare(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     chunks = keep(texts.mapInArrow(_chunks, _CHUNK), "chunks")
@@ -296,7 +335,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     tasks = partitions(spark)
     buckets = max(4 * tasks, number // 4)
     answers = keep(
-        chunks.mapInArrow(_ask(buckets), "bucket int, chunk long, kind int, hashes binary, counts binary")
+        chunks.mapInArrow(_ask(buckets, order), "bucket int, chunk long, kind int, hashes binary, counts binary")
         .repartition(tasks, "bucket")
         .sortWithinPartitions("bucket", "kind")
         .mapInArrow(_answer, "chunk long, kind int, bucket int, answer binary, seen long, tokens long"),
@@ -305,11 +344,12 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     distinct, total = (x or 0 for x in answers.agg(F.sum("seen"), F.sum("tokens")).first())
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "answer")).alias("answers"))
     counted = keep(chunks.join(by_chunk, "chunk"), "counted")
-    cells = counted.mapInArrow(_histogram(total), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = counted.mapInArrow(_histogram(total, order), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights(
-        np.array([r["cell"] for r in cells], np.int64), np.array([r["n"] for r in cells], float), 1 / (distinct + 1)
+        np.array([r["cell"] for r in cells], np.int64), np.array([r["n"] for r in cells], float), 1 / (distinct + 1),
+        order=order,
     )
     return counted.mapInArrow(
-        _score(weights, total, distinct),
+        _score(weights, total, distinct, order),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from starmart.llm import language_model, quality, tiling, urls
 from starmart.llm.quotes import reply_order
@@ -179,6 +180,65 @@ def test_language_model_counts_and_scores(spark, monkeypatch):
     assert [r.train_tokens for r in language_model.score_texts(docs(spark, [(only_held, "a b")])).collect()] == [0]
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_are_those_of_plain_counts(spark, monkeypatch, order):
+    rng = random.Random(order)
+    vocabulary = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 25)))) for i in range(150)]
+    rows += [(200, None), (201, ""), (None, "w1 Unseen"), (203, "W1 w2"), (203, "W1 w2"), (211, "new words new words")]
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 700)
+    got = language_model.score_texts(docs(spark, rows), order=order).collect()
+
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    tokens = [(d, (t or "").lower().split() + [""]) for d, t in rows]
+
+    def grams(text):
+        """For each token its n-grams by length, and their contexts; "^" stands before a text."""
+        padded = ["^"] * (order - 1) + text
+        for i in range(order - 1, len(padded)):
+            yield [tuple(padded[i - n : i + 1]) for n in range(order)]
+
+    count, context = collections.Counter(), collections.Counter()
+    for d, text in tokens:
+        if not held(d):
+            for found in grams(text):
+                count.update(found)
+                context.update(g[:-1] for g in found[1:])
+    total = sum(n for g, n in count.items() if len(g) == 1)
+    kinds = sum(1 for g in count if len(g) == 1)
+
+    def numbers(found, less):
+        cs, xs = [count[g] - less for g in found], [context[g[:-1]] - less for g in found[1:]]
+        group = 0
+        for n, x in enumerate(xs):
+            if x > 0 or n == 0:
+                group = n * language_model.CONTEXTS + (min(x.bit_length(), language_model.CONTEXTS - 1) if x > 0 else 0)
+        return group, [c / max(x, 1) for c, x in zip(cs[:0:-1], xs[::-1])] + [cs[0] / max(total - less, 1)]
+
+    cells = collections.Counter()
+    for d, text in tokens:
+        if not held(d):
+            for found in grams(text):
+                group, parts = numbers(found, 1)
+                cell = group
+                for p in parts:
+                    cell = cell * language_model.BINS + int(language_model._bin(np.array([p]))[0])
+                cells[cell] += 1
+    weights = language_model.learn_weights(
+        np.array(sorted(cells)), np.array([float(cells[c]) for c in sorted(cells)]), 1 / (kinds + 1), order=order
+    )
+    want = []
+    for d, text in tokens:
+        score = 0.0
+        for found in grams(text):
+            group, parts = numbers(found, 0)
+            score += math.log10(sum(w * p for w, p in zip(weights[group], [*parts, 1 / (kinds + 1)])))
+        want.append((str(d), len(text), score))
+    found = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+    assert [r[:2] for r in found] == [r[:2] for r in sorted(want)]
+    assert np.allclose([r[2] for r in found], [r[2] for r in sorted(want)], rtol=0, atol=1e-6)
+
+
 def test_weights_are_those_of_expectation_maximisation():
     cell = lambda b, p2, p1: (b * language_model.BINS + p2) * language_model.BINS + p1
     cells = np.array([cell(3, 1, 21), cell(3, 0, 11), cell(0, 0, 31)])
