@@ -82,7 +82,7 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
-    return score_texts(table(spark, folder, "documents"))
+    return score_texts(table(spark, folder, "documents"), order=3)
 
 
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
