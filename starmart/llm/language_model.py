@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -144,21 +145,24 @@ class _Chunk:
         before[self.first[:-1]] = start
         return before
 
-    def requests(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for kind, (hashes, at) in enumerate(self.grams):
-            yield kind, hashes, np.bincount(at[self.train], minlength=len(hashes))
+    def longest(self) -> tuple[np.ndarray, np.ndarray]:
+        """The longest n-grams, by hash, with their counts in training texts."""
+        hashes, at = self.grams[-1]
+        return hashes, np.bincount(at[self.train], minlength=len(hashes))
 
 
-def _ask(buckets: int, order: int):
+def _ask(buckets: int, kind: int):
+    """Of each chunk the n-grams of ``kind + 1`` words, by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(k << 64) // buckets for k in range(1, buckets)], _U)
         for row in _rows(batches):
             out = []
-            for kind, hashes, counts in _Chunk(row, order).requests():
-                cuts = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
-                for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                    if j > i:
-                        out.append((b, row["chunk"], kind, _pack_sorted(hashes[i:j]), _pack(counts[i:j], "<u4")))
+            hashes, counts = _Chunk(row, kind + 1).longest()
+            cuts = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+            for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                if j > i:
+                    out.append((b, row["chunk"], kind, _pack_sorted(hashes[i:j]), _pack(counts[i:j], "<u4")))
             columns = list(zip(*out))
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -170,7 +174,7 @@ def _ask(buckets: int, order: int):
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of each bucket's counts. Rows come sorted by bucket and kind, one of these is
+    """Sums of each bucket's counts. Rows come sorted by bucket, one of these is
     held at a time. Beside the answers: how many words training has, and how often."""
 
     def close(kind: int, bucket: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
@@ -334,12 +338,19 @@ def score_texts(
     number = chunks.count()
     tasks = partitions(spark)
     buckets = max(4 * tasks, number // 4)
-    answers = keep(
-        chunks.mapInArrow(_ask(buckets, order), "bucket int, chunk long, kind int, hashes binary, counts binary")
-        .repartition(tasks, "bucket")
-        .sortWithinPartitions("bucket", "kind")
-        .mapInArrow(_answer, "chunk long, kind int, bucket int, answer binary, seen long, tokens long"),
-        "answers",
+    # One length of n-grams after another, so that the shuffle of one is gone before the next one's is written.
+    answers = reduce(
+        DataFrame.union,
+        [
+            keep(
+                chunks.mapInArrow(_ask(buckets, kind), "bucket int, chunk long, kind int, hashes binary, counts binary")
+                .repartition(tasks, "bucket")
+                .sortWithinPartitions("bucket")
+                .mapInArrow(_answer, "chunk long, kind int, bucket int, answer binary, seen long, tokens long"),
+                "answers",
+            )
+            for kind in range(order)
+        ],
     )
     distinct, total = (x or 0 for x in answers.agg(F.sum("seen"), F.sum("tokens")).first())
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "answer")).alias("answers"))
