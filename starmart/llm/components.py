@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starmart.llm.store import keep
+from starmart.operators.joins import reshuffled
 
 
 def _lowest(df: DataFrame, key: str, value: str) -> DataFrame:
     """Each row beside the lowest value of its key.
 
-    The lowest are summed up map-side first; the join then lets adaptive execution
-    split the rows of a hot key.
+    The lowest are found map-side first, one row per key and task. They are shuffled once more before the join:
+    only then do both of its sides come straight from a shuffle, so that adaptive execution
+    may split the rows of a hot key.
     """
     low = df.groupBy(F.col(key).alias("node")).agg(F.min(value).alias("low"))
-    return df.join(low, df[key] == low["node"])
+    return df.join(reshuffled(low, "node"), df[key] == F.col("node"))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+import zlib
+from pathlib import Path
+from threading import Lock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +19,45 @@ from starmart.session import prepare_session, scratch_table, shared_folder
 BATCH_ROWS = "256"
 
 
+_shipping = Lock()
+_shipped: set[str] = set()
+
+
+def _package() -> bytes:
+    """This package's modules as an archive that Python can import from; the same bytes each time."""
+    top = Path(__file__).resolve().parent.parent
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.writestr(zipfile.ZipInfo(file.relative_to(top.parent).as_posix()), file.read_bytes())
+    return out.getvalue()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Once per application, give the workers this package, wherever the driver found it.
+
+    The archive lies in the shared folder, from which executors that join later fetch it too.
+    """
+    context = spark.sparkContext
+    with _shipping:
+        if context.applicationId in _shipped:
+            return
+        if Path(__file__).is_file():
+            archive = _package()
+            path = f"{shared_folder(spark)}/code/starmart-{zlib.crc32(archive):08x}.zip"
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where, True)
+            try:
+                out.write(archive)
+            finally:
+                out.close()
+            context.addPyFile(path)
+        _shipped.add(context.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     prepare_session(spark)
+    ship_package(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
