@@ -7,13 +7,15 @@ A folder holds for each part p, in ascending order of document id:
   where the last ends, as signed 64-bit integers;
 * ``p.doc``: the document ids, as signed 64-bit integers.
 
-A part's base is the number of ids in all parts before it, a prefix sum over the
-table of parts. Files are written under another name and then renamed, so a task that
-runs twice leaves one whole file; its content does not depend on the run.
+Documents are sorted over all tasks by id, hash of the text and row number, so rows that share an id, or have none,
+are dealt out like any others. A task encodes its documents in this order and begins a new part after ``PART_BYTES`` of text;
+a part's number is that of its task and its place there. A part's base is the number of ids in all parts before it, a prefix
+sum over the table of parts. Files are written under another name and then renamed, so a task that
+runs twice leaves one whole file; the order of the ids does not depend on the run.
 
 Null or empty texts consist of the end id alone. A null document id counts as lower
 than all others and is stored as the lowest 64-bit integer. Rows that repeat are all
-kept. An empty table gives no part. Extra columns are ignored.
+kept. Texts of any length are encoded whole, a text at a time. An empty table gives no part. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starmart.llm.store import keep, partitions, prepare
+from starmart.llm.store import keep, partitions, prepare, with_row_numbers
 from starmart.llm.tokens import encoder
 
-#: UTF-8 bytes of text in one part, about.
+#: Most UTF-8 bytes of text in one part, unless a single text has more.
 PART_BYTES = 32 << 20
+#: A part's number holds its place in its task in as many bits.
+_PART_BITS = 32
 NO_ID = -(1 << 63)
 _ROWS = 4096
 
@@ -60,30 +66,16 @@ def _view(fs: FileSystem, path: str, kind: str) -> np.ndarray:
         return np.frombuffer(file.readall(), kind)
 
 
-def _encode(path: str, end_id: int, width: str, bounds: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
-        end = np.array([end_id], width).tobytes()
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            found = [
-                np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in tokens.batch(batch.column("text"))
-            ]
-            part = np.searchsorted(bounds, ids, "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), batch.column("id"), pa.array(found, pa.binary())], names=["part", "id", "ids"]
-            )
-
-    return run
-
-
-def _save(folder: str, width: str):
+def _save(folder: str, path: str, end_id: int, width: str, part_bytes: int):
     size = np.dtype(width).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(folder)
         fs.create_dir(root, recursive=True)
-        out, part, docs, lengths = None, None, [], []
+        tokens = encoder(path)
+        end = np.array([end_id], width).tobytes()
+        part = TaskContext.get().partitionId() << _PART_BITS
+        out, docs, lengths, read = None, [], [], 0
 
         def close() -> pa.RecordBatch:
             out.close()
@@ -91,23 +83,25 @@ def _save(folder: str, width: str):
             _write(fs, f"{root}/{part}.doc", [np.array(docs, "<i8").tobytes()])
             _write(fs, f"{root}/{part}.len", [np.array(lengths, "<i8").tobytes()])
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([sum(lengths)], pa.int64())],
+                [pa.array([part], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([sum(lengths)], pa.int64())],
                 names=["part", "docs", "tokens"],
             )
 
         for batch in batches:
-            for p, doc, ids in zip(*(batch.column(c) for c in ("part", "id", "ids"))):
-                p = p.as_py()
-                if p != part:
-                    if out:
-                        yield close()
-                    part, docs, lengths = p, [], []
+            texts = batch.column("text")
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for doc, n, found in zip(batch.column("id").to_pylist(), sizes, tokens.batch(texts)):
+                if out and read + n > part_bytes:
+                    yield close()
+                    part, out, docs, lengths, read = part + 1, None, [], [], 0
+                if not out:
                     temporary = f"{root}/{part}.ids.{uuid.uuid4().hex}"
                     out = fs.open_output_stream(temporary)
-                data = ids.as_buffer()
-                out.write(data)
-                docs.append(doc.as_py())
-                lengths.append(data.size // size)
+                ids = np.frombuffer(found, "<u4").astype(width).tobytes() + end
+                out.write(ids)
+                docs.append(doc)
+                lengths.append(len(ids) // size)
+                read += n
         if out:
             yield close()
 
@@ -138,22 +132,22 @@ def write_tokens(
         F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text")
     )
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(4 * partitions(spark), total // PART_BYTES)
-    cuts = [k / parts for k in range(1, parts)]
-    found = texts.agg(F.percentile_approx("id", cuts, max(10_000, 10 * parts)).alias("x")).first()["x"]
-    bounds = np.unique(np.array(found or [0], np.int64))
+    tasks = max(4 * partitions(spark), total // PART_BYTES)
+    order = ["id", "hash", "row"]
     written = (
-        texts.mapInArrow(_encode(tokenizer, end_id, width, bounds), "part int, id long, ids binary")
-        .repartition(partitions(spark), "part")
-        .sortWithinPartitions("part", "id", F.xxhash64("ids"))
-        .mapInArrow(_save(folder, width), "part int, docs long, tokens long")
+        with_row_numbers(texts, "row")
+        .withColumn("hash", F.xxhash64("text"))
+        .repartitionByRange(tasks, *order)
+        .sortWithinPartitions(*order)
+        .select("id", "text")
+        .mapInArrow(_save(folder, tokenizer, end_id, width, PART_BYTES), "part long, docs long, tokens long")
     )
     written = keep(written, "parts")
     # One row for each part: the window is as small as the list of files.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = written.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     done = based.repartition(partitions(spark), "part").mapInArrow(
-        _offsets(folder), "part int, docs long, tokens long, base long"
+        _offsets(folder), "part long, docs long, tokens long, base long"
     )
     return keep(done, "based")
 

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 from starmart.llm.packing import pack, plan
 from starmart.llm.token_files import document_ids, read_tokens, write_tokens
 from starmart.llm.tokens import Encoder
+import starmart.llm.token_files as token_files
 import starmart.llm.tokens as tokens
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -115,3 +116,36 @@ def test_files_round_trip(spark, tmp_path):
             assert document_ids(folder, part, place, 49_408)[-1] == 1
     empty = str(tmp_path / "none")
     assert read_tokens(write_tokens(frame(spark, []), empty, PATH, 1), empty).count() == 0
+
+
+def test_rows_without_or_of_one_id_fill_many_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "PART_BYTES", 400)
+    rows = [(None, f"no id {k % 7}") for k in range(200)] + [(5, "the same words")] * 150 + [(k, f"text {k}") for k in range(90)]
+    rows += [(40, "long " * 300), (41, None)]
+    folder = str(tmp_path / "tokens")
+    parts = write_tokens(frame(spark, rows), folder, PATH, end_id=1, vocabulary=49_408)
+    table = {r["part"]: r for r in parts.collect()}
+    got = sorted((tuple(r) for r in read_tokens(parts, folder, 49_408).collect()), key=lambda r: r[1])
+    ids = [r[0] for r in got]
+    assert ids == sorted(ids, key=lambda x: -1 if x is None else x)
+    assert [r[1] for r in got] == list(np.cumsum([0] + [r[2] for r in got])[:-1])
+    want = [(d, len(expected(t, 1)), crc(expected(t, 1))) for d, t in rows]
+    assert sorted(((r[0], r[2], r[3]) for r in got), key=str) == sorted(want, key=str)
+    # These texts have fewer ids, the end included, than bytes.
+    assert all(r["tokens"] <= 400 or r["docs"] == 1 for r in table.values())
+    starts = {p: r["base"] for p, r in table.items()}
+    hot = {max(p for p, b in starts.items() if b <= r[1]) for r in got if r[0] == 5}
+    assert len(hot) > 3 and sum(r["docs"] for r in table.values()) == len(rows)
+
+
+def test_files_of_rows_from_files(spark, tmp_path):
+    """Numbered by their place in the files, and the same ids in the same order whichever way the rows lie."""
+    rows = [(k % 9 if k % 4 else None, TEXTS[k % len(TEXTS)]) for k in range(300)]
+    found = []
+    for n in (3, 11):
+        path = str(tmp_path / f"docs{n}")
+        frame(spark, rows).repartition(n).write.parquet(path)
+        folder = str(tmp_path / f"tokens{n}")
+        parts = write_tokens(spark.read.parquet(path), folder, PATH, end_id=1, vocabulary=49_408)
+        found.append(sorted((tuple(r) for r in read_tokens(parts, folder, 49_408).collect()), key=lambda r: r[1]))
+    assert found[0] == found[1] and len(found[0]) == 300
