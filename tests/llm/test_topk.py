@@ -29,7 +29,7 @@ def test_same_as_all_scores(spark, monkeypatch, small):
     queries = [r for r in rows if r[0] is None or r[0] % 20 == 0]
     frame = lambda some: spark.createDataFrame([r + ("g",) for r in some], SCHEMA).repartition(3)
     if small:
-        for name, value in (("GROUP", 16), ("BLOCK", 4), ("PACK", 4), ("SHEET", 3)):
+        for name, value in (("GROUP", 16), ("BLOCK", 4), ("PACK", 4), ("SHEET", 3), ("SHEET_BYTES", 4000), ("CELLS", 150)):
             monkeypatch.setattr(topk, name, value)
     got = sorted(tuple(r) for r in topk.top_k(frame(rows), frame(queries), 5).collect())
     assert got == plain(rows, queries, 5)
@@ -42,3 +42,15 @@ def test_few_and_no_rows(spark):
     assert topk.top_k(df.filter("id = 1"), df.filter("id = 1"), 5).count() == 0
     with pytest.raises(ValueError):
         topk.top_k(df, df, 0)
+
+
+def test_units_are_bounded_by_rows_and_cells():
+    import pyarrow as pa
+
+    rows = [(k, list(range(k % 5, k % 5 + 1 + k % 9))) for k in range(60)] + [(60, list(range(500))), (61, [])]
+    batch = pa.RecordBatch.from_pylist([{"id": i, "terms": t, "weights": [1] * len(t)} for i, t in rows])
+    units = list(topk._rows([batch.slice(0, 25), batch.slice(25)], 8, 60))
+    assert [(i, list(t)) for ids, terms, _ in units for i, t in zip(ids, terms)] == rows
+    for ids, terms, _ in units:
+        assert len(ids) <= 8
+        assert len(ids) == 1 or len(ids) * len({x for t in terms for x in t}) <= 60
