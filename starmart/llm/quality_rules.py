@@ -8,7 +8,7 @@ sum of the logarithms of their ratio over a text's n-grams, divided by their num
 text is decided by a threshold, none by chance. Ratios are kept as whole multiples
 of 2**-20 and summed as integers, so a score does not depend on how rows are batched.
 
-The target is learnt from at most ``MAX_LABELLED`` labelled rows (those of lowest hash): trusted are those of quality 1 that
+The target is learnt from all labelled rows: trusted are those of quality 1 that
 are not toxic. Half of them make the target, the other half and the rows of quality 0 set the
 threshold, which best tells them apart. Raw counts cover all rows. Without trusted texts
 every score is 0 and the base rules decide alone; without rows of quality 0 the threshold is the one that
@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starmart.llm.sample import lowest
+from starmart.llm.cuts import Cuts
 from starmart.llm.store import keep, partitions, prepare
 from starmart.llm.words import Words, _power, _slices, mix, shingles, text_buffer
 
 _U = np.uint64
-#: Labelled rows that the target and the threshold are learnt from, at most.
-MAX_LABELLED = 20_000
+#: Bits that labelled ids are marked in, in blocks of 2**15: 8 MB.
+MARK_BITS = 26
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 #: Counts travel in slices of this many buckets.
@@ -207,6 +207,16 @@ def threshold(trusted: np.ndarray, rejected: np.ndarray) -> float:
     return float((cuts[best - 1] + cuts[best]) / 2) if best > 1 else float(cuts[best])
 
 
+def least_score(cuts: Cuts) -> float:
+    """``threshold`` over scores of any number; those of rejected texts are the low kind."""
+    if not cuts.highs:
+        return -np.inf
+    if not cuts.lows:
+        return float(cuts.high_at(cuts.highs // 100))
+    gap = cuts.best()
+    return float((gap.score + gap.following) / 2) if gap and gap.gain > 0 else -np.inf
+
+
 @dataclass
 class Rules:
     """Fitted ratios and threshold, and the limits of the base rules."""
@@ -226,31 +236,41 @@ class Rules:
         return dict(zip(BASE, base.T)) | {"base_failed": failed, "score": score, "kept": ~failed & (score >= self.least)}
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Rules:
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose id is not in ``ids``, so that their texts need not be moved for a join.
+
+    The ids are marked in a bitmap of 2**MARK_BITS bits by their hash, which is broadcast whatever their number.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - MARK_BITS)
+    bitmaps = ids.groupBy(F.shiftright(place, 15).alias("block")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    spot = place.bitwiseAND(F.lit((1 << 15) - 1))
+    byte = F.conv(F.hex(F.expr("substring(bits, spot div 8 + 1, 1)")), 16, 10).cast("int")
+    there = F.getbit(byte, (F.col("spot") % 8).cast("int")) == 1
+    rows = docs.withColumns({"block": F.shiftright(place, 15), "spot": spot.cast("int")})
+    return rows.join(F.broadcast(bitmaps), "block").filter(there).select(*docs.columns)
+
+
+def fit_rules(docs: DataFrame, labels: DataFrame) -> Rules:
     """``docs(id, text)`` and ``labels(doc_id, quality, toxic)``."""
     known = (
         labels.filter("doc_id is not null and quality in (0, 1)")
         .groupBy(F.col("doc_id").cast("long").alias("id"))
         .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-        .filter("quality = 0 or toxic = 0")
+        .filter("quality = 0 or toxic = 0").select("id", "quality")
     )
-    here = keep(known.join(docs.filter("id is not null").select("id").distinct(), "id"), "labelled-ids")
-    # At most max_labelled rows of two numbers, so they may be broadcast.
-    some = F.broadcast(lowest(here, max_labelled, "id"))
     half = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))
     role = F.when(F.col("quality") == 0, "rejected").when(half == 0, "target").otherwise("trusted")
-    texts = keep(docs.join(some, "id").groupBy("id", "quality").agg(F.min("text").alias("text")).select("text", role.alias("role")), "labelled-texts")
+    here = _marked(docs, known).join(known, "id").groupBy("id", "quality").agg(F.min("text").alias("text"))
+    texts = keep(here.select("text", role.alias("role")), "labelled-texts")
     weights = ratios(bucket_counts(texts.filter("role = 'target'")), bucket_counts(docs))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums, many = ratio_sums(*text_buffer(batch.column("text")), weights)
-            yield pa.RecordBatch.from_arrays([batch.column("role"), pa.array(sums / UNIT / np.maximum(many, 1))], names=["role", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(sums / UNIT / np.maximum(many, 1)), batch.column("low")], names=["score", "low"])
 
-    # One number for each of at most max_labelled texts.
-    found = texts.filter("role <> 'target'").mapInArrow(scores, "role string, score double").collect()
-    of = lambda role: np.array([r["score"] for r in found if r["role"] == role])
-    return Rules(weights, threshold(of("trusted"), of("rejected")))
+    rest = texts.filter("role <> 'target'").select("text", (F.col("role") == "rejected").alias("low"))
+    return Rules(weights, least_score(Cuts(rest.mapInArrow(scores, "score double, low boolean"))))
 
 
 def _judge(rules: Rules):
@@ -262,10 +282,10 @@ def _judge(rules: Rules):
     return run
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept)``."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    rules = fit_rules(texts, labels, max_labelled)
+    rules = fit_rules(texts, labels)
     schema = "id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, score double, kept boolean"
     return texts.mapInArrow(_judge(rules), schema).withColumnRenamed("id", id_column)

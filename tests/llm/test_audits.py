@@ -237,6 +237,29 @@ def test_threshold():
     assert quality_rules.threshold(np.arange(200.0), np.array([])) == 2.0
 
 
+def test_least_score_is_the_threshold_of_all_scores(spark):
+    rng = random.Random(5)
+    pairs = [([1.0, 2, 3], [-1.0, 0]), ([1.0, 2, 3], [5.0]), ([], [1.0]), ([*np.arange(200.0)], []), ([], [])]
+    pairs += [([rng.randint(5, 30) / 8 for _ in range(n)], [rng.randint(0, 20) / 8 for _ in range(n)]) for n in (7, 90)]
+    for trusted, rejected in pairs:
+        rows = [(float(x), False) for x in trusted] + [(float(x), True) for x in rejected]
+        cuts = quality_rules.Cuts(spark.createDataFrame(rows, "score double, low boolean").repartition(5))
+        assert quality_rules.least_score(cuts) == quality_rules.threshold(np.array(trusted), np.array(rejected))
+
+
+def test_rules_are_learnt_from_all_labelled_rows(spark, monkeypatch):
+    n, found, counted = 30_000, [], []
+    cuts, count = quality_rules.Cuts, quality_rules.bucket_counts
+    monkeypatch.setattr(quality_rules, "Cuts", lambda scores: found.append(cuts(scores)) or found[0])
+    monkeypatch.setattr(quality_rules, "bucket_counts", lambda texts: counted.append(count(texts)) or counted[-1])
+    texts = spark.range(n + 500).selectExpr("id", "concat('word', id % 7) AS text").union(spark.sql("SELECT 3L, 'a copy'"))
+    labels = spark.range(n).selectExpr("id AS doc_id", "int(id % 3 > 0) AS quality", "0 AS toxic")
+    quality_rules.fit_rules(texts, labels)
+    # A text of one token has two n-grams; trusted texts either make the target or set the threshold.
+    assert found[0].lows == n // 3 and found[0].highs + counted[0].sum() // 2 == n - n // 3
+    assert counted[1].sum() == 2 * (n + 500) + 3
+
+
 def test_lowest_takes_the_lowest_hashes(spark):
     df = spark.range(30_000).withColumnRenamed("id", "k")
     some = lowest(df, 1_000, "k")
