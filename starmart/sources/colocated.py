@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from starmart.model import DIMENSION_KEYS, LAYOUT, Star
 from starmart.session import laid_out_by_month, write_and_read
 
-#: Fact rows that a bucket is to hold, a few hundred MB of a fact's narrow rows.
-BUCKET_ROWS = 10_000_000
+#: Fact rows that a bucket is to hold. One task sorts and joins a bucket, in about 300 bytes a row.
+BUCKET_ROWS = 2_000_000
 
 
 def _bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
