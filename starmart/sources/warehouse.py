@@ -17,6 +17,12 @@ from starmart.session import laid_out_by_month, remove_folder, shared_folder, wr
 from starmart.sources.colocated import colocate
 
 
+#: Rows of a business key and a key that are broadcast in the load, about 100 MB.
+KEY_MAP_ROWS = 2_000_000
+#: Facts that are columns of the keyed lines, row by row.
+LAID_OUT = ("fakta_pengiriman",)
+
+
 class Warehouse(Mapping[str, DataFrame]):
     """Star tables of one source, each written the first time it is asked for.
 
@@ -47,7 +53,7 @@ class Warehouse(Mapping[str, DataFrame]):
 
     def frame(self, name: str) -> DataFrame:
         """The plan that builds one table from the tables before it."""
-        source, keyed, known = self.source, self.keyed, self.known.get(name)
+        source, keyed, side, known = self.source, self.keyed, self._side, self.known.get(name)
         plans: dict[str, Callable[[], DataFrame]] = {
             "dim_waktu": lambda: build.dim_waktu(source["orders"], known),
             "dim_produk": lambda: build.dim_produk(
@@ -59,18 +65,18 @@ class Warehouse(Mapping[str, DataFrame]):
                 source["order_payments"], known
             ),
             "keyed_orders": lambda: build.keyed_orders(
-                source["orders"], keyed("dim_waktu"), keyed("dim_pelanggan")
+                source["orders"], side("dim_waktu"), side("dim_pelanggan")
             ),
             "keyed_lines": lambda: build.keyed_lines(
                 source["order_items"],
                 keyed("keyed_orders"),
-                keyed("dim_produk"),
-                keyed("dim_seller"),
+                side("dim_produk"),
+                side("dim_seller"),
             ),
             "fakta_penjualan": lambda: build.fakta_penjualan(keyed("keyed_lines")),
             "fakta_pengiriman": lambda: build.fakta_pengiriman(keyed("keyed_lines")),
             "fakta_pembayaran": lambda: build.fakta_pembayaran(
-                source["order_payments"], keyed("keyed_orders"), keyed("dim_metode_pembayaran")
+                source["order_payments"], keyed("keyed_orders"), side("dim_metode_pembayaran")
             ),
             "fakta_review": lambda: build.fakta_review(
                 source["order_reviews"], keyed("keyed_lines")
@@ -91,6 +97,12 @@ class Warehouse(Mapping[str, DataFrame]):
                 self._written[name] = self._write(name)
             return self._written[name]
 
+    def _side(self, dimension: str) -> DataFrame:
+        """A written dimension for a join of the load, which takes its two keys. Up to ``KEY_MAP_ROWS`` rows are
+        broadcast, so that orders and lines are not shuffled once more for it."""
+        rows = self.keyed(dimension)
+        return F.broadcast(rows) if self._star.row_counts[dimension] <= KEY_MAP_ROWS else rows
+
     def _write(self, name: str) -> DataFrame:
         df = self.frame(name)
         fact = "fakta_penjualan" if name == "keyed_lines" else name
@@ -98,7 +110,8 @@ class Warehouse(Mapping[str, DataFrame]):
         if fact not in FACT_KEYS:
             written = write_and_read(df, path)
         else:
-            df = laid_out_by_month(df)
+            # Rows that are read from a fact as they are need not be moved into its layout again.
+            df = df.sortWithinPartitions(*LAYOUT, "waktu_id") if name in LAID_OUT else laid_out_by_month(df)
             if FACT_KEYS[fact] == "id":
                 df = df.withColumn("id", F.monotonically_increasing_id())
             written = write_and_read(df, path, tuple(LAYOUT))
