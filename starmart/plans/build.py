@@ -134,7 +134,8 @@ def keyed_lines(
 ) -> DataFrame:
     """Order items with all four dimension keys, the base of three facts.
 
-    An item of which the order, product or seller is unknown stays, with that key NULL.
+    An item of which the order, product or seller is unknown stays, with that key NULL. The columns of the order
+    stand together, as they repeat from item to item and so take little room where lines are moved.
     """
     return (
         items.join(orders, "order_id", "left")
@@ -143,16 +144,15 @@ def keyed_lines(
             seller.select(F.col("source_seller_id").alias("seller_id"), "seller_key"), "seller_id", "left"
         )
         .select(
+            "order_id",
             "waktu_id",
-            "produk_key",
             "pelanggan_key",
+            "durasi_pengiriman",
+            *LAYOUT,
+            "produk_key",
             "seller_key",
             F.col("quantity").alias("jumlah"),
             F.col("price").cast(MONEY).alias("total_harga"),
-            "order_id",
-            "order_item_id",
-            "durasi_pengiriman",
-            *LAYOUT,
         )
     )
 
@@ -175,7 +175,11 @@ def fakta_pembayaran(payments: DataFrame, orders: DataFrame, metode: DataFrame)
     matched = payments.join(metode.select("payment_code", "metode_key"), "payment_code", "left").join(
         orders.select("order_id", "waktu_id", "pelanggan_key", *LAYOUT), "order_id", "left"
     )
-    numbered = surrogate_keys(matched, ["order_id", "payment_sequential"], "pembayaran_key")
+    # Numbering moves and writes all columns that it is given.
+    used = matched.select(
+        "order_id", "waktu_id", "pelanggan_key", *LAYOUT, "payment_sequential", "metode_key", "payment_value"
+    )
+    numbered = surrogate_keys(used, ["order_id", "payment_sequential"], "pembayaran_key")
     return numbered.select(
         "pembayaran_key",
         "waktu_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -20,6 +20,8 @@ _SETTINGS = {
 
 _local_folders: dict[str, str] = {}
 
+#: How the star is written: numbers as differences to the one before, so that sorted keys and row numbers take little.
+COMPACT = {"compression": "zstd", "parquet.writer.version": "v2"}
 
 _SHUFFLE_START = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
@@ -65,11 +67,11 @@ def laid_out_by_month(fact: DataFrame) -> DataFrame:
 
 
 def write_and_read(
-    df: DataFrame, path: str, partition_by: Sequence[str] = ()
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), options: Mapping[str, str] | None = None
 ) -> DataFrame:
     """Write ``df`` as Parquet and return a scan of it, with its lineage cut."""
     schema = StructType(df.schema.fields)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").options(**(options or {}))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -83,6 +85,6 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
+def scratch_table(df: DataFrame, name: str, options: Mapping[str, str] | None = None) -> DataFrame:
     folder = shared_folder(df.sparkSession)
-    return write_and_read(df, f"{folder}/scratch/{name}-{uuid.uuid4().hex}")
+    return write_and_read(df, f"{folder}/scratch/{name}-{uuid.uuid4().hex}", options=options)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from starmart.model import DIMENSION_KEYS, FACT_KEYS, FOREIGN_KEYS, LAYOUT, STAR_SCHEMAS, Star
 from starmart.plans import build
-from starmart.session import laid_out_by_month, remove_folder, shared_folder, write_and_read
+from starmart.session import COMPACT, laid_out_by_month, remove_folder, shared_folder, write_and_read
 from starmart.sources.colocated import colocate
 
 
@@ -108,13 +108,13 @@ class Warehouse(Mapping[str, DataFrame]):
         fact = "fakta_penjualan" if name == "keyed_lines" else name
         path = f"{self._folder}/{name}-{uuid.uuid4().hex}"
         if fact not in FACT_KEYS:
-            written = write_and_read(df, path)
+            written = write_and_read(df, path, options=COMPACT)
         else:
             # Rows that are read from a fact as they are need not be moved into its layout again.
             df = df.sortWithinPartitions(*LAYOUT, "waktu_id") if name in LAID_OUT else laid_out_by_month(df)
             if FACT_KEYS[fact] == "id":
                 df = df.withColumn("id", F.monotonically_increasing_id())
-            written = write_and_read(df, path, tuple(LAYOUT))
+            written = write_and_read(df, path, tuple(LAYOUT), COMPACT)
         self.paths[name] = path
         return written
 

@@ -53,3 +53,23 @@ def test_deliveries_are_not_laid_out_again(spark, source, tmp_path, monkeypatch)
 def test_a_bucket_stays_within_a_task():
     # About 300 bytes a row were measured; a task may have some 3.6 GB.
     assert colocated.BUCKET_ROWS * 300 < 1_000_000_000
+
+
+def test_lines_hold_only_what_a_fact_takes(spark, source, tmp_path):
+    lines = Warehouse(spark, source, str(tmp_path)).frame("keyed_lines")
+    assert "order_item_id" not in lines.columns
+    # What an order's lines have in common stands together, so that moved rows repeat it.
+    assert lines.columns[:6] == ["order_id", "waktu_id", "pelanggan_key", "durasi_pengiriman", "tahun", "bulan"]
+
+
+def test_tables_are_written_compactly(spark, source, tmp_path):
+    star = Warehouse(spark, source, str(tmp_path))
+    for name in ("keyed_orders", "keyed_lines", "fakta_pengiriman", "dim_produk"):
+        files = star.keyed(name).inputFiles()
+        assert files and all(".zstd.parquet" in file for file in files)
+
+
+def test_payments_are_numbered_without_their_texts(spark, source, tmp_path):
+    plan = plan_of(Warehouse(spark, source, str(tmp_path)).frame("fakta_pembayaran"))
+    assert "payment_value" in plan
+    assert "payment_code" not in plan and "payment_type" not in plan
