@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import StructType
 
-from starmart.model import DIMENSION_KEYS, FACT_KEYS, FOREIGN_KEYS, Star
-from starmart.session import scratch_table
+from starmart.model import BROADCAST_ROWS, DIMENSION_KEYS, FACT_KEYS, FOREIGN_KEYS, Star
+from starmart.session import COMPACT, scratch_table
 
 # monotonically_increasing_id() holds the partition above this many bits of row index.
 _INDEX_BITS = 33
+# Keys per row of a table of bits, as a power of two.
+_BLOCK_BITS = 6
 
 
 def surrogate_keys(
@@ -47,6 +49,7 @@ def surrogate_keys(
         .sortWithinPartitions(*order)
         .withColumn("_index", F.monotonically_increasing_id()),
         "keys",
+        COMPACT,
     )
     part = F.shiftright("_index", _INDEX_BITS)
     # One row per range partition, so a single-task window is enough.
@@ -154,36 +157,45 @@ def _labelled(df: DataFrame, table: str, column: str) -> DataFrame:
 
 
 def check_foreign_keys(star: Star) -> DataFrame:
-    """Fact rows per foreign key whose non-NULL value has no dimension row."""
+    """Fact rows per foreign key whose non-NULL value has no dimension row.
+
+    The keys of the dimensions are held as a table of 64 bits a row, which is written first. While it is
+    within ``BROADCAST_ROWS`` the keys of the facts are looked up where they lie; beyond that they are
+    counted per value and shuffled.
+    """
     found = [
         star[fact].select(F.lit(fact).alias("table"), F.explode(_stacked(dimensions)).alias("x"))
         for fact, dimensions in FOREIGN_KEYS.items()
     ]
-    counted = (
+    used = (
         reduce(DataFrame.unionByName, found)
         .select("table", "x.column", "x.value").filter("value IS NOT NULL")
-        .groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("n"))
     )
     known = reduce(
         DataFrame.unionByName,
         [
-            star[d].select(
-                F.lit(key).alias("column"), F.col(key).cast("long").alias("value"), F.lit(True).alias("known")
-            )
+            star[d].select(F.lit(key).alias("column"), F.col(key).cast("long").alias("value"))
             for d, key in DIMENSION_KEYS.items()
         ],
     )
+    block = F.shiftright("value", _BLOCK_BITS).alias("block")
+    bit = F.col("value").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1))
+    held = scratch_table(
+        known.filter("value IS NOT NULL").groupBy("column", block)
+        .agg(_bits()),
+        "known",
+        COMPACT,
+    )
+    if held.count() <= BROADCAST_ROWS:
+        counted, held = used.withColumn("n", F.lit(1).cast("long")), F.broadcast(held)
+    else:
+        counted = used.groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("n"))
     # An anti join would be pushed below the sums and the union, to every fact by itself.
     orphans = (
-        counted.join(known.distinct(), ["column", "value"], "left")
-        .filter("known IS NULL").select("table", "column", "n")
-    )
-    # A row for each of the 17 foreign keys, also for those that nothing is wrong with.
-    none = [(t, DIMENSION_KEYS[d], 0) for t, ds in FOREIGN_KEYS.items() for d in ds]
-    rows = F.explode(F.array(*[F.struct(*map(F.lit, row)) for row in none])).alias("x")
-    every = star[next(iter(DIMENSION_KEYS))].sparkSession.range(1).select(rows).select(
-        F.col("x.col1").alias("table"), F.col("x.col2").alias("column"), F.col("x.col3").cast("long").alias("n")
+        counted.withColumn("block", block).join(held, ["column", "block"], "left")
+        .filter(F.col("bits").isNull() | (F.getbit("bits", bit) == 0)).select("table", "column", "n")
     )
+    every = _zeros(star, [(t, DIMENSION_KEYS[d]) for t, ds in FOREIGN_KEYS.items() for d in ds])
     return orphans.union(every).groupBy("table", "column").agg(F.sum("n").alias("orphans"))
 
 
@@ -201,16 +213,49 @@ def check_unique_keys(star: Star) -> DataFrame:
     """Values per unique column that occur more than once.
 
     A missing primary key counts as such a value; a unique label may be missing.
+
+    Keys are first counted per block of 64 that may stand, beside a bit for each that does. Only blocks
+    with more keys than bits, which are written first, hold repeated ones; the keys of these are counted singly.
     """
     label = ("dim_metode_pembayaran", "metode_pembayaran")
-    checks = []
-    for table, column in [*DIMENSION_KEYS.items(), label, *FACT_KEYS.items()]:
-        per_value = star[table].groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        missing, repeated = F.col(column).isNull(), F.col("n") > 1
-        broken = per_value.filter(
-            repeated & ~missing if (table, column) == label else repeated | missing
-        )
-        checks.append(
-            _labelled(broken.agg(F.count(F.lit(1)).alias("duplicates")), table, column)
-        )
-    return reduce(DataFrame.unionByName, checks)
+    primary = [*DIMENSION_KEYS.items(), *FACT_KEYS.items()]
+    keys = reduce(
+        DataFrame.unionByName,
+        [
+            _labelled(star[table].select(F.col(column).cast("long").alias("value")), table, column)
+            for table, column in primary
+        ],
+    )
+    present = keys.filter("value IS NOT NULL").withColumn("block", F.shiftright("value", _BLOCK_BITS))
+    crowded = scratch_table(
+        present.groupBy("table", "column", "block").agg(F.count(F.lit(1)).alias("n"), _bits())
+        .filter(F.col("n") > F.bit_count("bits")).select("table", "column", "block"),
+        "crowded",
+        COMPACT,
+    )
+    if crowded.count() <= BROADCAST_ROWS:
+        crowded = F.broadcast(crowded)
+    repeated = (
+        present.join(crowded, ["table", "column", "block"], "left_semi")
+        .groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    )
+    missing = keys.filter("value IS NULL").select("table", "column").distinct()
+    labels = star[label[0]].groupBy(label[1]).agg(F.count(F.lit(1)).alias("n"))
+    twice = _labelled(labels.filter(F.col(label[1]).isNotNull() & (F.col("n") > 1)).select(), *label)
+    one = F.lit(1).cast("long").alias("n")
+    broken = reduce(DataFrame.union, [df.select("table", "column", one) for df in (repeated, missing, twice)])
+    every = _zeros(star, [*primary, label])
+    return broken.union(every).groupBy("table", "column").agg(F.sum("n").alias("duplicates"))
+
+
+def _bits() -> Column:
+    """The values of a block as bits."""
+    return F.bit_or(F.expr(f"shiftleft(1L, int(value & {(1 << _BLOCK_BITS) - 1}))")).alias("bits")
+
+
+def _zeros(star: Star, columns: Sequence[tuple[str, str]]) -> DataFrame:
+    """A row for each of the columns, also for those that nothing is wrong with."""
+    rows = F.explode(F.array(*[F.struct(*map(F.lit, row)) for row in columns])).alias("x")
+    return star[next(iter(DIMENSION_KEYS))].sparkSession.range(1).select(rows).select(
+        F.col("x.col1").alias("table"), F.col("x.col2").alias("column"), F.lit(0).cast("long").alias("n")
+    )

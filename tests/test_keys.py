@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import random
+import re
 
+import pytest
+
+from starmart.operators import keys
 from starmart.operators.keys import (
     check_foreign_keys, check_unique_keys, cleanse, surrogate_keys,
 )
-from tests.frames import frame, money, small_star, values
+from tests.frames import frame, money, plan_of, small_star, star, values
 
 
 def test_keys_number_the_business_keys_in_order(spark):
@@ -51,3 +55,41 @@ def test_key_checks(spark):
     assert len(repeats) == 11
     # One key twice and one missing.
     assert {k: n for k, n in repeats.items() if n} == {("fakta_pembayaran", "pembayaran_key"): 2}
+
+
+def _wide_star(spark):
+    """Keys below zero, at the ends of blocks of 64, far apart, missing, repeated and unknown."""
+    ids = [-2**62, -65, -64, -1, 0, 1, 63, 64, 127, 128, 2**40, 2**62]
+    return star(
+        spark,
+        dim_produk=[(i, f"P{i}", "k", "e", 1, 1) for i in [*ids, 63, 63, 64]],
+        dim_pelanggan=[(i, f"C{i}", "x", "SP") for i in ids],
+        dim_metode_pembayaran=[(1, "card"), (2, "card"), (3, None), (4, None)],
+        fakta_penjualan=[(None, p, c, None, 1, money(1)) for p in [*ids, 2, 62, -2, None] for c in [1, 65, 2**40 + 1]],
+        fakta_pembayaran=[(k, None, None, None, money(1)) for k in [5, 5, 5, 6, 69, None, None, -5, -5, 2**40, 2**40]],
+    )
+
+
+@pytest.mark.parametrize("rows", [None, 0])
+def test_key_checks_by_bits_are_exact(spark, monkeypatch, rows):
+    if rows is not None:
+        monkeypatch.setattr(keys, "BROADCAST_ROWS", rows)
+    s = _wide_star(spark)
+    orphans = {(t, c): n for t, c, n in values(check_foreign_keys(s))}
+    assert len(orphans) == 17
+    assert {k: n for k, n in orphans.items() if n} == {
+        ("fakta_penjualan", "produk_key"): 9, ("fakta_penjualan", "pelanggan_key"): 32,
+    }
+    repeats = {(t, c): n for t, c, n in values(check_unique_keys(s))}
+    assert len(repeats) == 11
+    assert {k: n for k, n in repeats.items() if n} == {
+        ("dim_produk", "produk_key"): 2, ("dim_metode_pembayaran", "metode_pembayaran"): 1,
+        ("fakta_pembayaran", "pembayaran_key"): 4,
+    }
+
+
+def test_key_checks_do_not_shuffle_the_keys_of_facts(spark):
+    s = small_star(spark)
+    # No exchange by the single value, which every fact row would cross.
+    assert not re.search(r"hashpartitioning\(table#\d+, column#\d+, value#", plan_of(check_foreign_keys(s)))
+    assert "LeftSemi" in plan_of(check_unique_keys(s))
