@@ -159,8 +159,8 @@ def _labelled(df: DataFrame, table: str, column: str) -> DataFrame:
 def check_foreign_keys(star: Star) -> DataFrame:
     """Fact rows per foreign key whose non-NULL value has no dimension row.
 
-    The keys of the dimensions are held as a table of 64 bits a row, which is written first. While it is
-    within ``BROADCAST_ROWS`` the keys of the facts are looked up where they lie; beyond that they are
+    Keys of dimensions number their rows, so they are held as 64 bits a row. Where each dimension is known to fill
+    at most ``BROADCAST_ROWS`` such rows, the keys of the facts are looked up where they lie; otherwise they are
     counted per value and shuffled.
     """
     found = [
@@ -178,15 +178,11 @@ def check_foreign_keys(star: Star) -> DataFrame:
             for d, key in DIMENSION_KEYS.items()
         ],
     )
+    most = BROADCAST_ROWS << _BLOCK_BITS
     block = F.shiftright("value", _BLOCK_BITS).alias("block")
     bit = F.col("value").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1))
-    held = scratch_table(
-        known.filter("value IS NOT NULL").groupBy("column", block)
-        .agg(_bits()),
-        "known",
-        COMPACT,
-    )
-    if held.count() <= BROADCAST_ROWS:
+    held = known.filter("value IS NOT NULL").groupBy("column", block).agg(_bits())
+    if all(star.row_counts.get(d, most) < most for d in DIMENSION_KEYS):
         counted, held = used.withColumn("n", F.lit(1).cast("long")), F.broadcast(held)
     else:
         counted = used.groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -108,7 +108,8 @@ class Warehouse(Mapping[str, DataFrame]):
         fact = "fakta_penjualan" if name == "keyed_lines" else name
         path = f"{self._folder}/{name}-{uuid.uuid4().hex}"
         if fact not in FACT_KEYS:
-            written = write_and_read(df, path, options=COMPACT)
+            # Not compactly: Spark takes a side for small, and broadcasts it, by the size of its files.
+            written = write_and_read(df, path)
         else:
             # Rows that are read from a fact as they are need not be moved into its layout again.
             df = df.sortWithinPartitions(*LAYOUT, "waktu_id") if name in LAID_OUT else laid_out_by_month(df)

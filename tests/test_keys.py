@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 import re
+from dataclasses import replace
 
 import pytest
 
+from starmart.model import DIMENSION_KEYS
 from starmart.operators import keys
 from starmart.operators.keys import (
     check_foreign_keys, check_unique_keys, cleanse, surrogate_keys,
@@ -74,7 +76,7 @@ def _wide_star(spark):
 def test_key_checks_by_bits_are_exact(spark, monkeypatch, rows):
     if rows is not None:
         monkeypatch.setattr(keys, "BROADCAST_ROWS", rows)
-    s = _wide_star(spark)
+    s = replace(_wide_star(spark), row_counts=dict.fromkeys(DIMENSION_KEYS, 20))
     orphans = {(t, c): n for t, c, n in values(check_foreign_keys(s))}
     assert len(orphans) == 17
     assert {k: n for k, n in orphans.items() if n} == {
@@ -89,7 +91,7 @@ def test_key_checks_by_bits_are_exact(spark, monkeypatch, rows):
 
 
 def test_key_checks_do_not_shuffle_the_keys_of_facts(spark):
-    s = small_star(spark)
+    s = replace(small_star(spark), row_counts=dict.fromkeys(DIMENSION_KEYS, 5))
     # No exchange by the single value, which every fact row would cross.
     assert not re.search(r"hashpartitioning\(table#\d+, column#\d+, value#", plan_of(check_foreign_keys(s)))
     assert "LeftSemi" in plan_of(check_unique_keys(s))
