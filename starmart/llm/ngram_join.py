@@ -13,11 +13,15 @@ distinct n-grams. The steps:
    lowest class per class, first in each task and then over all, never all pairs. Each size
    band has clusters of its own, for links whose smaller set is of the band, so
    chance meetings do not chain from band to band.
-4. Clusters are cut into tiles of one size band. Each pair of tiles that may hold
-   a link of the cluster's band is one unit of work: bit counts of hashed bitmaps bound the overlap from above,
-   pairs above the bound are intersected as sorted arrays. Each pair of classes that links is met in one
+4. Classes that share a passage meet under keys too, so such a cluster grows with the corpus. Bit counts of
+   hashed bitmaps, of about a bit per n-gram, bound the overlap of two classes from above. Only the bitmaps are moved to
+   find the pairs of a cluster that the bound lets through; classes connected by these are what is left of it.
+5. What is left is cut into tiles of one size band. Each pair of tiles that may hold
+   a link of the cluster's band is one unit of work: pairs above the same bound are intersected as sorted arrays.
+   Each pair of classes that links is met in one
    unit, so link counts add up; where only components are asked for, pairs already connected are passed by.
-5. Components of the links, over classes.
+   Only texts of classes that are left are moved, as far as a bitmap of fixed size tells them from others.
+6. Components of the links, over classes.
 
 Nulls and texts without words have the empty set and link with nothing, each row
 being its own component. Rows may repeat, also their ids: a component is named by the
@@ -37,6 +41,7 @@ from pyspark.sql import functions as F
 
 from starmart.llm.components import components
 from starmart.llm.store import keep, partitions, prepare
+from starmart.llm.tiling import MAP_BITS, seed_map
 from starmart.llm.words import mix, shingles, words
 
 _U = np.uint64
@@ -47,6 +52,9 @@ BUCKET = 1 << 20
 #: A tile's documents and n-grams at most.
 TILE_ROWS = 2048
 TILE_GRAMS = 1 << 21
+#: The same where only bitmaps are compared.
+BITMAP_ROWS = 1 << 14
+BITMAP_GRAMS = 1 << 25
 #: N-grams that are intersected with one set at a time.
 OVERLAP = 1 << 20
 
@@ -142,17 +150,39 @@ def _digest(grams: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def bits_of(low: np.ndarray, band: int) -> int:
+    """Bits of the bitmaps that sets of a band are compared by; no fewer in a higher band."""
+    return min(max(256, 1 << (int(low[band + 1]) - 1).bit_length()), 1 << 16)
+
+
+def bitmap(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Which of ``bits`` hash ranges hold an odd number of n-grams. Two sets differ in no fewer n-grams than bits."""
+    odd = np.bincount((grams >> _U(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def folded(data: bytes, bits: int) -> np.ndarray:
+    """A bitmap of as many bits or more, as one of ``bits``."""
+    out = np.frombuffer(data, np.uint8)
+    while 8 * len(out) > bits:
+        out = np.packbits(np.bitwise_xor.reduce(np.unpackbits(out).reshape(-1, 2), 1))
+    return out
+
+
 def _describe(n: int, percent: int):
     low = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), *(_digest(s) if len(s) else (0, 0))) for s in _sets(batch, n)]
-            size, a, b = np.array(rows, np.int64).reshape(-1, 3).T
-            band = (np.searchsorted(low, size, "right") - 1).astype(np.int32)
+            rows, maps = [], []
+            for s in _sets(batch, n):
+                band = int(np.searchsorted(low, len(s), "right")) - 1
+                rows.append((len(s), *(_digest(s) if len(s) else (0, 0)), band))
+                maps.append(bitmap(s, bits_of(low, band)).tobytes() if len(s) else None)
+            size, a, b, band = np.array(rows, np.int64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *map(pa.array, (size, a, b, band))],
-                names=["id", "n", "a", "b", "band"],
+                [batch.column("id"), *map(pa.array, (size, a, b, band.astype(np.int32))), pa.array(maps, pa.binary())],
+                names=["id", "n", "a", "b", "band", "bits"],
             )
 
     return run
@@ -266,11 +296,9 @@ def link_sets(
     if not len(order):
         return [], counts
     bits = min(max(256, 1 << int(size[-1]).bit_length()), 1 << 16)
-    shift = _U(64 - bits.bit_length() + 1)
     maps = np.empty((len(order), bits // 64), _U)
     for row, k in enumerate(order):
-        odd = np.bincount((sets[k] >> shift).astype(np.int64), minlength=bits) & 1
-        maps[row] = np.packbits(odd.astype(np.uint8)).view(_U)
+        maps[row] = bitmap(sets[k], bits).view(_U)
     group = np.arange(len(order))
     half = side[order] if side is not None else None
     links = []
@@ -316,6 +344,96 @@ def link_sets(
     return links, counts
 
 
+def link_bitmaps(
+    size: np.ndarray, maps: np.ndarray, percent: int, own: np.ndarray, side: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Enough pairs to connect what may be linked among sets of such sizes and bitmaps, a row of ``maps`` each.
+
+    Only pairs whose smaller set is marked in ``own`` are looked at, and with ``side`` only those between the sides.
+    """
+    order = np.argsort(size, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    halves = [order] if side is None else [order[side[order] == k] for k in (0, 1)]
+    group = np.arange(len(order))
+    links = []
+    for half, against in zip(halves, halves[::-1]):
+        # One row for each word of the bitmaps, so that many sets are compared at a time.
+        columns, sizes, ranks = np.ascontiguousarray(maps[against].T), size[against], rank[against]
+        for i in half[own[half] != 0]:
+            begin = int(np.searchsorted(ranks, rank[i], "right"))
+            end = int(np.searchsorted(sizes, size[i] * 100 // percent, "right"))
+            if begin >= end:
+                continue
+            differ = np.zeros(end - begin, np.int32)
+            for word, column in zip(maps[i], columns):
+                differ += np.bitwise_count(column[begin:end] ^ word)
+            both = size[i] + sizes[begin:end]
+            bound = (both - differ) // 2
+            other = against[begin:end][100 * bound >= percent * (both - bound)]
+            found, first = np.unique(group[other], return_index=True)
+            new = found != group[i]
+            if new.any():
+                links += [(int(i), int(j)) for j in other[first[new]]]
+                group[np.isin(group, found)] = group[i]
+    return links
+
+
+def _near(percent: int):
+    """Links of each unit by bitmaps, between nodes. Rows come sorted by unit, one unit is held at a time."""
+    low = bands(percent)
+
+    def close(held: list[tuple], two: bool, band: int) -> pa.RecordBatch:
+        node, size, own, side = (np.array([x[k] for x in held], np.int64) for k in range(4))
+        bits = bits_of(low, band)
+        maps = np.stack([folded(x[4], bits) for x in held]).view(_U)
+        found = np.array(link_bitmaps(size, maps, percent, own, side if two else None), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("unit", "two", "low", "node", "n", "own", "side", "bits")))
+            for unit, two, band, *row in rows:
+                if (unit, two, band) != now and held:
+                    yield close(held, *now[1:])
+                    held = []
+                now = unit, two, band
+                held.append(row)
+        if held:
+            yield close(held, *now[1:])
+
+    return run
+
+
+def _close_members(members: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """``members`` of clusters with those only that the bitmaps connect, by clusters of what they connect."""
+    spark = members.sparkSession
+    node = F.xxhash64("low", "a", "b")
+    units = _units(members, BITMAP_ROWS, BITMAP_GRAMS).select("unit", "two", "low", node.alias("node"), "n", "own", "side", "a", "b")
+    near = (
+        units.join(bitmaps, ["a", "b"])
+        .select("unit", "two", "low", "node", "n", "own", "side", "bits")
+        .repartition(partitions(spark), "unit")
+        .sortWithinPartitions("unit")
+        .mapInArrow(_near(percent), "a long, b long")
+    )
+    clusters = components(near)
+    return members.drop("root").join(clusters, node == clusters["node"]).select("root", *(c for c in members.columns if c != "root"))
+
+
+def _held(present: np.ndarray):
+    """The texts whose ids the bitmap may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            held = present[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1
+            yield batch.select(["id", "text"]).filter(pa.array(held.astype(bool)))
+
+    return run
+
+
 def _compare(n: int, percent: int, count: bool):
     """Links of each unit, and rows with a null ``b`` that say how many rows a class links to.
 
@@ -352,18 +470,18 @@ def _compare(n: int, percent: int, count: bool):
     return run
 
 
-def _units(members: DataFrame) -> DataFrame:
-    """``members(root, rep, n, a, b, band, low, copies)`` with the units that each is compared in.
+def _units(members: DataFrame, most_rows: int, most_grams: int) -> DataFrame:
+    """``members(root, rep, n, a, b, band, low, copies)`` with the units that each is compared in, in tiles of such size.
 
     ``low`` is the band of the cluster, in which the smaller set of a link lies; members
     are of this band or the next.
     """
     tiles = members.groupBy("root", "band").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
-    tile_count = F.ceil(F.greatest(F.col("rows") / TILE_ROWS, F.col("grams") / TILE_GRAMS)).cast("int")
+    tile_count = F.ceil(F.greatest(F.col("rows") / most_rows, F.col("grams") / most_grams)).cast("int")
     plan = keep(
         tiles.groupBy("root").agg(
             F.map_from_entries(F.collect_list(F.struct("band", tile_count.alias("tiles")))).alias("plan"),
-            ((F.sum("rows") > TILE_ROWS) | (F.sum("grams") > TILE_GRAMS)).alias("many"),
+            ((F.sum("rows") > most_rows) | (F.sum("grams") > most_grams)).alias("many"),
         ),
         "plan",
     )
@@ -389,7 +507,7 @@ def _units(members: DataFrame) -> DataFrame:
     whole = F.expr("array(struct(0 as side, false as two, '' as x, '' as y))")
     return (
         mine.withColumn("u", F.explode(F.when(F.col("many"), pairs).otherwise(whole)))
-        .select("rep", "a", "b", "copies", (F.col("band") == F.col("low")).alias("own"), F.concat_ws("/", F.col("root").cast("string"), F.col("low").cast("string"), "u.x", "u.y").alias("unit"), "u.side", "u.two")
+        .select("rep", "n", "a", "b", "low", "copies", (F.col("band") == F.col("low")).alias("own"), F.concat_ws("/", F.col("root").cast("string"), F.col("low").cast("string"), "u.x", "u.y").alias("unit"), "u.side", "u.two")
     )
 
 
@@ -409,10 +527,13 @@ def ngram_classes(
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
 
     described = keep(
-        texts.mapInArrow(_describe(words, percent), "id long, n long, a long, b long, band int"), "sets"
+        texts.mapInArrow(_describe(words, percent), "id long, n long, a long, b long, band int, bits binary"), "sets"
     )
     classes = keep(
-        described.filter("n > 0").groupBy("n", "a", "b", "band").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes"
+        described.filter("n > 0").groupBy("n", "a", "b", "band").agg(
+            F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("bits").alias("bits")
+        ),
+        "classes",
     )
 
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -428,13 +549,17 @@ def ngram_classes(
     clusters = components(near)
 
     nodes = classes.filter("rep is not null").select(
-        "*", F.explode(F.array_distinct(F.array("band", F.greatest(F.col("band") - 1, F.lit(0))))).alias("low")
+        "rep", "n", "a", "b", "band", "copies", F.explode(F.array_distinct(F.array("band", F.greatest(F.col("band") - 1, F.lit(0))))).alias("low")
     )
     members = nodes.join(clusters, _node(F.col("low")) == clusters["node"])
     members = keep(members.select("root", "rep", "n", "a", "b", "band", "low", "copies"), "members")
-    units = _units(members)
+    members = keep(_close_members(members, classes.select("a", "b", "bits"), percent), "close")
+    units = _units(members, TILE_ROWS, TILE_GRAMS)
+    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - MAP_BITS).alias("place")
+    present = seed_map(members.select(F.xxhash64("rep").alias("seed")))
+    held = texts.filter("id is not null").select("id", "text", place).mapInArrow(_held(present), "id long, text string")
     pairs = (
-        units.join(texts.filter("id is not null"), F.col("rep") == F.col("id"))
+        units.join(held, F.col("rep") == F.col("id"))
         .select("unit", "id", "a", "b", "side", "two", "copies", "own", "text")
         .repartition(4 * partitions(spark), "unit")
         .sortWithinPartitions("unit")

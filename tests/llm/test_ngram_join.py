@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from starmart.llm import ngram_join
-from starmart.llm.ngram_join import link_sets, ngram_classes
+from starmart.llm.ngram_join import link_bitmaps, link_sets, ngram_classes
 
 SCHEMA = "doc_id long, text string, a int, unit string"
 
@@ -96,6 +96,48 @@ def test_cut_clusters_of_several_bands_give_the_same(spark, monkeypatch):
     assert got == brute(rows, 4, 85)
 
 
+def test_texts_that_only_share_a_passage_are_not_moved(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(90)] + passage for _ in range(150)]
+    texts += [[*t[:40], "x", *t[41:]] for t in texts[:10]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    seen = []
+    units = ngram_join._units
+    monkeypatch.setattr(ngram_join, "_units", lambda members, *most: seen.append(members.select("rep").distinct().count()) or units(members, *most))
+    assert run(spark, rows, words=5, percent=80) == brute(rows, 5, 80)
+    assert seen[0] > 60 and seen[-1] == 20
+
+
+def test_bitmaps_of_cut_clusters_give_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(300)}" for _ in range(300)]
+    # Sizes from 120 to 297, whose bitmaps are of 256 and 512 bits.
+    texts = [" ".join(base[: 297 - 3 * i] + [f"x{i}"] * (i % 2)) for i in range(60)]
+    rows = list(enumerate(texts))
+    want = brute(rows, 4, 85)
+    with monkeypatch.context() as m:
+        m.setattr(ngram_join, "BITMAP_ROWS", 3)
+        assert run(spark, rows, words=4, percent=85) == want
+        assert run(spark, rows, words=4, percent=85, count_links=False) == [r[:3] for r in want]
+
+
+def test_bitmaps_let_every_link_through():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 700).astype(np.uint64) * 2)
+    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(300, 690)), replace=False), rng.integers(0, 1 << 63, 9).astype(np.uint64)])) for _ in range(60)]
+    maps = [ngram_join.bitmap(s, 1024) for s in sets]
+    assert all((ngram_join.folded(m.tobytes(), 512) == ngram_join.bitmap(s, 512)).all() for m, s in zip(maps, sets))
+    size, own = np.array([len(s) for s in sets]), np.ones(60, int)
+    for side in (None, np.arange(60) % 2):
+        links, _ = link_sets(sets, 80, side)
+        group = list(range(60))
+        for i, j in link_bitmaps(size, np.stack(maps).view(np.uint64), 80, own, side):
+            assert side is None or side[i] != side[j]
+            group = [group[i] if g == group[j] else g for g in group]
+        assert links and all(group[i] == group[j] for i, j in links)
+
+
 def test_awkward_rows(spark):
     same = "One two\tTHREE four\nfive six"
     rows = [(5, None), (6, ""), (7, " \n\x0b"), (8, "one"), (9, "ONE"), (9, "ONE"), (3, same), (2, same.lower()),
